@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, secret_scan, sstable, urlfilter
+from . import decontamination, flac, packing, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
 from .common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -24,11 +24,34 @@ URL_RULES = (
 )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return verdicts(scored, toxicity.held_out(F.col("doc_id")))
+
+
+def verdicts(scored: DataFrame, held_out: F.Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids, by the sources' own shares."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return verdicts(scored, quality.held_out(F.col("doc_id")))
+
+
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' FLAC streams, from reading the stored streams back."""
+    return flac.digests(flac.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and a digest of the fixed patterns' spans, and all spans."""
     found = secret_scan.scan_secrets(
@@ -67,13 +90,22 @@ def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates."""
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("glob")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op5_secrets, op6_decontamination, op7_sstable, op10_urls)
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_packing, op3_quality, op4_flac, op5_secrets,
+        op6_decontamination, op7_sstable, op9_near_duplicates, op10_urls,
+    )
 }
 
 RULE_VALUES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
