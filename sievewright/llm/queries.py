@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, packing, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
+from . import decontamination, flac, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
 from .common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -90,6 +90,11 @@ def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest)
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents, and copies of whole texts."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near-duplicates."""
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -104,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_packing, op3_quality, op4_flac, op5_secrets,
-        op6_decontamination, op7_sstable, op9_near_duplicates, op10_urls,
+        op6_decontamination, op7_sstable, op8_passages, op9_near_duplicates, op10_urls,
     )
 }
 
