@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def consolidate(df: DataFrame, keys: Sequence[str], sets: dict[str, str]) -> DataFrame:
     """One row for each trimmed key: the sorted distinct values of the columns in sets (new name: column) and
     occurrence_count. An empty key part is a value."""
-    trimmed = df.select(*(F.trim(F.coalesce(k, F.lit(""))).alias(k) for k in keys), *{F.col(c).alias(f"set {n}") for n, c in sets.items()})
+    trimmed = df.select(*(F.trim(F.coalesce(k, F.lit(""))).alias(k) for k in keys), *(F.col(c).alias(f"set {n}") for n, c in sets.items()))
     return trimmed.groupBy(*keys).agg(
         *(F.array_sort(F.collect_set(f"set {n}")).alias(n) for n in sets), F.count("*").alias("occurrence_count")
     )
@@ -112,7 +112,7 @@ def unseen(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def heading_scores(lines: DataFrame, page: Sequence[str]) -> DataFrame:
     """Lines (size, top, bottom, bold_share, text) with heading_score and is_heading (5 or more): font size against the
     page's median, capitals, length, bold type, numbering, and the space above and below."""
-    order = Window.partitionBy(*page).orderBy("top")
+    order = Window.partitionBy(*page).orderBy("top", "bottom")
     median = F.percentile("size", F.lit(0.5)).over(Window.partitionBy(*page))
     step = lambda c, high, low: F.when(c >= high, 2).when(c >= low, 1).otherwise(0)
     more = lambda c, high, low: F.when(c > high, 2).when(c > low, 1).otherwise(0)

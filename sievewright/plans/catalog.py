@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search, texts
+from . import analytics, search, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "search", "texts"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "search", "texts"]
