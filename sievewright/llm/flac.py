@@ -417,7 +417,7 @@ def decode_frames(raw: np.ndarray, at: np.ndarray, body: np.ndarray, end: np.nda
         fits &= (pos + 7 >> 3) == end[g] - body[g] - 2
         x[g[fits]] = y[fits]
         done[g[fits]] = True
-    return x, np.where(kind >= 64, 7, kind >> 1), done
+    return x, np.select([kind >= 64, kind >= 16], [7, (kind >> 1) - 6], kind >> 1), done
 
 
 def decode(streams: list[bytes]) -> list[tuple[Info, np.ndarray, list[int]]]:
