@@ -25,7 +25,8 @@ STOP_WORDS = {
 def detect_language(text: Column) -> Column:
     """The language with most function words among the first 200 words, the first of equal ones; null under 20 characters."""
     first = F.slice(tokens(F.lower(text)), 1, 200)
-    votes = F.array(*(F.struct(F.size(F.filter(first, lambda w, ws=ws: w.isin(ws))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(STOP_WORDS.items())))
+    count = lambda ws: F.size(F.filter(first, lambda w: w.isin(ws)))
+    votes = F.array(*(F.struct(count(ws).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(STOP_WORDS.items())))
     best = F.array_max(votes)
     return F.when((F.length(text) >= 20) & (best["n"] > 0), best["lang"])
 
