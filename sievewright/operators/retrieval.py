@@ -18,6 +18,11 @@ from ..functions import text as T
 BROADCAST_QUERIES = 10_000
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value being computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, d: s + d)
 
@@ -194,12 +199,15 @@ def greedy_unique(df: DataFrame, by: Sequence[str], order: Sequence[str], key: s
         close = F.exists(
             shared, lambda s: (s["i"] > (s["m"] + n - s["i"]) * similarity) | (s["i"] > s["m"] * within) | (s["i"] > n * within)
         )
-        reason = F.when(equal, "duplicate").when(close, "similar")
-        row = F.struct(x["key"].alias("key"), reason.isNull().alias("kept"), reason.alias("reason"))
-        return F.struct(
-            F.when(reason.isNull(), F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).cast(kind).alias("kept"),
-            F.concat(state["rows"], F.array(row)).cast(done).alias("rows"),
-        )
+
+        def add(reason: Column) -> Column:
+            row = F.struct(x["key"].alias("key"), reason.isNull().alias("kept"), reason.alias("reason"))
+            return F.struct(
+                F.when(reason.isNull(), F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).cast(kind).alias("kept"),
+                F.concat(state["rows"], F.array(row)).cast(done).alias("rows"),
+            )
+
+        return let(F.when(equal, "duplicate").when(close, "similar"), add)
 
     start = F.struct(F.array().cast(kind).alias("kept"), F.array().cast(done).alias("rows"))
     folded = lists.select(*by, F.aggregate("items", start, step, lambda s: s["rows"]).alias("rows"))
@@ -218,16 +226,16 @@ def coverage_select(df: DataFrame, by: Sequence[str], order: Sequence[str], key:
     words = dict(df.dtypes)[items]
 
     def step(state: Column, _: Column) -> Column:
-        taken = F.transform(state["chosen"], lambda c: c["place"])
-        free = F.filter(state["rows"], lambda r: ~F.array_contains(taken, r["place"]))
-        best = F.array_max(F.transform(free, lambda r: F.struct(F.size(F.array_except(r["items"], state["covered"])).alias("n"), (-r["place"]).alias("p"))))
-        row = F.element_at(F.filter(state["rows"], lambda r: r["place"] == -best["p"]), 1)
-        more = F.when(
-            best.isNotNull(),
-            F.concat(state["chosen"], F.array(F.struct(row["place"].alias("place"), row["key"].alias("key"), best["n"].alias("n_new")))),
-        ).otherwise(state["chosen"])
-        covered = F.when(best.isNotNull(), F.array_union(state["covered"], row["items"])).otherwise(state["covered"])
-        return F.struct(state["rows"].alias("rows"), more.cast(chosen).alias("chosen"), covered.cast(words).alias("covered"))
+        rows = F.transform(state["rows"], lambda r: F.struct(F.size(F.array_except(r["items"], state["covered"])).alias("n"), (-r["place"]).alias("p"), r["key"].alias("key"), r["items"].alias("items")))
+
+        def add(best: Column) -> Column:
+            pick = F.struct((-best["p"]).alias("place"), best["key"].alias("key"), best["n"].alias("n_new"))
+            more = F.when(best.isNotNull(), F.concat(state["chosen"], F.array(pick))).otherwise(state["chosen"])
+            covered = F.when(best.isNotNull(), F.array_union(state["covered"], best["items"])).otherwise(state["covered"])
+            left = F.filter(state["rows"], lambda r: best.isNull() | (r["place"] != -best["p"]))
+            return F.struct(left.alias("rows"), more.cast(chosen).alias("chosen"), covered.cast(words).alias("covered"))
+
+        return let(F.array_max(rows), add)
 
     start = F.struct(F.col("rows"), F.array().cast(chosen).alias("chosen"), F.array().cast(words).alias("covered"))
     folded = lists.select(*by, F.aggregate(F.sequence(F.lit(1), F.lit(final_k)), start, step, lambda s: s["chosen"]).alias("chosen"))

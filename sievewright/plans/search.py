@@ -162,7 +162,8 @@ def comparator_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten passages of each country that cover most comparator terms of its first sixty."""
-    rows = chunks(spark, sf_dir).withColumn("terms", T.comparator_terms(F.col("text")))
+    rows = R.top_k(chunks(spark, sf_dir), F.col("doc_id"), 60, ["country"], "doc_id")
+    rows = rows.select("country", "doc_id", T.comparator_terms(F.col("text")).alias("terms"))
     return R.coverage_select(rows, ["country"], ["doc_id"], "doc_id", "terms", 10, 60)
 
 
