@@ -1,7 +1,7 @@
 """Quality: a byte-level convolutional network, trained in numpy.
 
 Bytes are embedded, learned filters of width 5 run over the whole document, and each filter is rectified and max-pooled in
-overlapping chunks of 512 bytes, a new one every 384. A hidden layer turns the pooled filters of a chunk into chunk
+overlapping chunks of 256 bytes, a new one every 192. A hidden layer turns the pooled filters of a chunk into chunk
 features, which are pooled over all chunks by their maximum and their mean and combined into one probability.
 The cut between the classes is calibrated on rows set aside and moved to a score of 0.5. Neither labels nor lang, source
 or doc_id are inputs of a score.
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .learning import Adam, best_threshold, is_calibration, labelled_sample, remainder, score, sigmoid
 
-WIDTH, DIM, FILTERS, HIDDEN = 5, 8, 24, 16
+WIDTH, DIM, FILTERS, HIDDEN = 5, 8, 32, 16
 #: Chunks are runs of segments: CHUNK segments of SEGMENT bytes, a chunk every STRIDE segments.
-SEGMENT, CHUNK, STRIDE = 128, 4, 3
+SEGMENT, CHUNK, STRIDE = 64, 4, 3
 EPOCHS, BATCH, SEED = 8, 32, 11
 #: Labelled rows the network is fitted on at most.
 SAMPLE_ROWS = 4000
