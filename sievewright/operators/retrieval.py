@@ -169,10 +169,11 @@ def required_terms(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
 def rerank(df: DataFrame, ranking: Ranking, by: Sequence[str], order: Sequence[str], final_k: int) -> DataFrame:
     """The final_k best rows (columns text, heading) of each group: the base score is the number of rows in the group less
-    the rank in `order` from 0, boosts are added, ties keep that order. Columns base, score and place are added."""
-    df = required_terms(df, ranking.required)
+    the rank in `order` from 0, boosts are added, ties keep that order. Columns base, score and place are added. Boosts are
+    computed before the ranks, so that a caller who selects no text shuffles none."""
+    df = required_terms(df, ranking.required).withColumn("boost", sum((b.score() for b in ranking.boosts), F.lit(0.0)))
     ranked = df.withColumn("base", F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(Window.partitionBy(*by).orderBy(*order)) + 1)
-    scored = ranked.withColumn("score", sum((b.score() for b in ranking.boosts), F.col("base").cast("double")))
+    scored = ranked.withColumn("score", F.col("base") + F.col("boost")).drop("boost")
     place = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("base"))
     return scored.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= (2 * final_k if ranking.coverage else final_k))
 
