@@ -112,7 +112,7 @@ def unseen(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def heading_scores(lines: DataFrame, page: Sequence[str]) -> DataFrame:
     """Lines (size, top, bottom, bold_share, text) with heading_score and is_heading (5 or more): font size against the
     page's median, capitals, length, bold type, numbering, and the space above and below."""
-    order = Window.partitionBy(*page).orderBy("top", "bottom")
+    order = Window.partitionBy(*page).orderBy("top", "bottom", "size", "bold_share", "text")
     median = F.percentile("size", F.lit(0.5)).over(Window.partitionBy(*page))
     step = lambda c, high, low: F.when(c >= high, 2).when(c >= low, 1).otherwise(0)
     more = lambda c, high, low: F.when(c > high, 2).when(c > low, 1).otherwise(0)

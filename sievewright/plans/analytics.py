@@ -281,7 +281,7 @@ LAYOUT = """l AS (SELECT l_orderkey AS page, l_linenumber * 40.0 + l_quantity /
 
 
 @query(f"""WITH {LAYOUT}, m AS (SELECT page, quantile_cont(size, 0.5) AS median FROM l GROUP BY page),
-s AS (SELECT l.*, median, coalesce(top - lag(bottom) OVER (PARTITION BY page ORDER BY top, bottom), 100) AS above, coalesce(lead(top) OVER (PARTITION BY page ORDER BY top, bottom) - bottom, 100) AS below,
+s AS (SELECT l.*, median, coalesce(top - lag(bottom) OVER (PARTITION BY page ORDER BY top, bottom, size, bold_share, text), 100) AS above, coalesce(lead(top) OVER (PARTITION BY page ORDER BY top, bottom, size, bold_share, text) - bottom, 100) AS below,
   length(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS upper, len(string_split(text, ' ')) AS words FROM l JOIN m USING (page))
 SELECT page, text, top, (CASE WHEN size / median >= 1.3 THEN 2 WHEN size / median >= 1.1 THEN 1 ELSE 0 END + CASE WHEN upper > 0.8 THEN 2 WHEN upper > 0.6 THEN 1 ELSE 0 END
   + CASE WHEN words < 6 THEN 2 WHEN words < 12 THEN 1 ELSE 0 END + CASE WHEN bold_share > 0.7 THEN 2 WHEN bold_share > 0.3 THEN 1 ELSE 0 END + CASE WHEN starts_with(text, '1. ') THEN 2 ELSE 0 END

@@ -172,4 +172,4 @@ QUALIFY row_number() OVER (PARTITION BY country, source_type ORDER BY doc_id) <=
 def formatted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five passages of each country and source type, with the fields a result carries."""
     rows = R.top_k(chunks(spark, sf_dir), F.col("doc_id"), 5, ["country", "source_type"], "doc_id")
-    return rows.select("doc_id", "country", "source_type", F.length("text").alias("text_length"), "heading")
+    return rows.select("doc_id", "country", "source_type", F.length("text").cast("long").alias("text_length"), "heading")
