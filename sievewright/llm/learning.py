@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, text_bytes
 
 #: Labelled rows that a model is fitted on at most, the ones with the least hash of their identifier.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 
 
 def remainder(key: F.Column, divisor: int) -> F.Column:
