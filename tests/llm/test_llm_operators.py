@@ -442,6 +442,12 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert {r.exact for r in rows} == {True, False}
 
 
+def test_runs_of_one_word_are_passages(spark):
+    texts = [text(30, 10 * d, [f"r{d}x{i}" for i in range(99)]) + " of" * (60 + d) + " " + text(30, 10 * d + 1, [f"s{d}x{i}" for i in range(99)]) for d in range(3)]
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2} and all(r.start >= 30 and r.end - r.start >= 40 for r in rows)
+
+
 def test_passages_of_copies_and_odd_rows(spark):
     docs = odd_documents(spark)
     rows = passages.repeated_passages(docs).collect()
