@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that one Arrow batch carries to Python."""
+    """Bound the rows that one Arrow batch carries to Python, whose workers must find this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for a context, unless workers find it by PYTHONPATH or the working folder."""
+    home = Path(__file__).resolve().parents[2]
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED or any(p and Path(p).resolve() == home for p in found):
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="sievewright-"), "sievewright")
+    context.addPyFile(shutil.make_archive(name, "zip", home, Path(__file__).resolve().parents[1].name))
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
     conf = spark.sparkContext.getConf()
