@@ -532,7 +532,7 @@ def features(x: np.ndarray, kinds: list[int]) -> str:
 
 def digests(media: DataFrame, key: str = "doc_id", tail: int = 16) -> DataFrame:
     """key, n_bytes and what reading the stored streams back gives: size and SHA-256 of payload and stream, CRC-32 of the
-    last samples, found through the seek table, and features."""
+    last samples, and features."""
     df = media.select(F.col(key).alias("key"), "n_bytes", "media")
     kind = dict(df.dtypes)["key"]
     schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
