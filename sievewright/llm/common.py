@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -57,15 +58,30 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or f"file://{tempfile.mkdtemp(prefix='sievewright-')}"
+        path = spark.sparkContext.getCheckpointDir()
+        if not path:
+            own = tempfile.mkdtemp(prefix="sievewright-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            path = f"file://{own}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process wrote; results that read them must have been written by then."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

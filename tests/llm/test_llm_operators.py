@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sievewright.llm import decontamination, flac, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
+from sievewright.llm import common, decontamination, flac, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
 from sievewright.llm import queries as Q
 from sievewright.llm.common import words
 from sievewright.llm.components import components
@@ -532,6 +533,14 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_intermediate_tables_can_be_dropped(spark):
+    held = common.write_table(spark.range(5), "five")
+    path = held.inputFiles()[0].removeprefix("file://")
+    assert held.count() == 5 and os.path.exists(path)
+    common.drop_written(spark)
+    assert not os.path.exists(path)
+
+
 # --- op10 -------------------------------------------------------------------------------------------------------------
 
 
