@@ -84,11 +84,12 @@ def drop_written(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, so lost executors repeat nothing before it."""
+def write_table(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there, so lost executors repeat nothing before it.
+    level: how hard the files are compressed."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

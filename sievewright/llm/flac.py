@@ -31,7 +31,7 @@ CHUNK = 4096
 SAMPLE_RATE = 8000
 #: Coefficients of the fixed predictors by order (fixed values of the format).
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
-PRECISION, SHIFT = 9, 7
+PRECISION, SHIFT = 6, 4
 
 
 def crc_table(poly: int, bits: int) -> np.ndarray:
@@ -491,7 +491,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     df = text_bytes(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     out = map_rows(df, make, f"key {dict(df.dtypes)['key']}, n_bytes long, media binary")
-    return write_table(out.withColumnRenamed("key", key), "flac")
+    return write_table(out.withColumnRenamed("key", key), "flac", level=6)
 
 
 def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", samples: int = 65536) -> DataFrame:
