@@ -2,7 +2,7 @@
 
 A byte-level vocabulary spends few characters a token on strings that no text contains. Runs of key-like characters whose
 ratio of characters to tokens is low are reported as `random`, unless they are digests of a known length, UUIDs, or
-identifiers built of words and numbers.
+identifiers whose parts are words of the vocabulary and short numbers. Keys of one case, or of letters only, are tested like others.
 
 Edge cases: a null text counts as empty and has no spans; offsets count code points, the end is exclusive; spans of one
 kind never overlap; a random span never overlaps a span of the fixed patterns; repeated rows are scanned one by one.
@@ -35,8 +35,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST_LENGTHS = {16, 32, 40, 48, 56, 64, 96, 128}
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Words in lower, upper or title case and short numbers, held together by separators or by camel case.
-IDENTIFIER = re.compile(r"(?:[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}(?![0-9])|[A-Za-z](?![A-Za-z])))+[-_/+=]*")
+SEPARATORS = re.compile(r"[-_/+=]+")
+#: A part between separators: words of three letters or more held together by camel case, then or else a short number.
+PART = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z]))*[0-9]{0,4}")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CHARS_PER_TOKEN = 2.0
 
 
@@ -59,22 +61,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_known(s: str) -> bool:
-    """Digests, UUIDs, identifiers and strings of one character class carry no secret by themselves."""
+def is_identifier(s: str, enc: tiktoken.Encoding) -> bool:
+    """Whether the parts between separators are short numbers and words that cost at most a token for CHARS_PER_TOKEN characters."""
+    parts = [x for x in SEPARATORS.split(s) if x]
+    if not all(PART.fullmatch(x) for x in parts):
+        return False
+    return all(len(w) >= CHARS_PER_TOKEN * len(enc.encode_ordinary(w)) for x in parts for w in WORD.findall(x))
+
+
+def is_known(s: str, enc: tiktoken.Encoding) -> bool:
+    """Digests, UUIDs, identifiers and strings without a letter carry no secret by themselves."""
     if (len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s)) or UUID.fullmatch(s):
         return True
-    core = s.strip("-_/+=")
-    if not (any(c.isdigit() for c in core) and any(c.isalpha() for c in core)):
-        return True
-    return bool(IDENTIFIER.fullmatch(s))
+    return not any(c.isalpha() for c in s) or is_identifier(s, enc)
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], enc: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not is_known(m[0]) and not any(a < e and s < b for a, _, b in taken):
-            if (e - s) / len(enc.encode_ordinary(m[0])) < ratio:
+        if not any(a < e and s < b for a, _, b in taken) and (e - s) / len(enc.encode_ordinary(m[0])) < ratio:
+            if not is_known(m[0], enc):
                 found.append((s, 3, e))
     return found
 

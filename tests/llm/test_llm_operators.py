@@ -300,6 +300,19 @@ def test_secret_patterns(spark):
     assert got[13] == [("assign", 0, 23)]
 
 
+def test_keys_of_one_case_and_of_letters_only_are_found(spark):
+    r = random.Random(5)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [low + digits, up + digits, up + "234567", low, up, low + up]
+    keys = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (24, 32, 40) for _ in range(20)]
+    keys += ["3ax6xnjp29jd6fds4gc373sgvjxteol0", "x7f9q2m4k8z1p3w6r5t0"]
+    names = ["some_long_identifier_name_2024", "getUserAccountByIdentifier", "file_2024_03_11_12_30_45", "path/to/some/file/name", "-" * 40, "2024-03-11-12-30-00-17"]
+    got = scan(spark, [f"a {x} b" for x in keys + names])
+    missed = [k for i, k in enumerate(keys) if got[i] != [("random", 2, 2 + len(k))]]
+    assert len(missed) <= len(keys) // 50 and not set(keys[-2:]) & set(missed)
+    assert all(got[len(keys) + i] == [] for i in range(len(names)))
+
+
 def test_secrets_are_masked_and_clean_texts_left_alone(spark):
     df = odd_documents(spark, [(9, f"a password=abcdefgh1 b {KEY} c", "en", "a", 1, "x")])
     path = public_tokenizers.path(Q.BYTE_RANKS)
