@@ -426,6 +426,29 @@ def test_chains_follow_both_texts():
     assert len(best) == 8 and brute_chain(matches) > 30
 
 
+def test_chains_take_the_best_predecessor_in_reach():
+    r = random.Random(3)
+    for _ in range(300):
+        # places of their own and diagonals far apart, so that each match is a segment
+        matches = [(i * 7 + r.randrange(2), r.randrange(300)) for i in range(30)]
+        if len({q - p for p, q in matches}) == len(matches):
+            best = passages.chains(matches)[0]
+            value = sum(n for _, _, n in best)
+            for (a, b, n), (p, q, _) in itertools.pairwise(best):
+                value -= passages.GAP_COST * (p - a - n + q - b - n) + passages.SKEW_COST * abs(p - a - q + b)
+            assert abs(value - brute_chain(matches)) < 1e-9
+
+
+def test_a_far_passage_hides_no_near_one(spark):
+    first, second = text(60, 41), text(50, 42)
+    halves = second.split()
+    docs = [" ".join([text(30, 50 + d, [f"a{d}x{i}" for i in range(99)]), first, text(100, 60 + d, [f"b{d}x{i}" for i in range(99)])]) for d in range(2)]
+    docs[0] += " " + second
+    docs[1] += " " + " ".join([*halves[:25], "added", *halves[25:]])
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in rows} == {(0, 30, 90), (0, 190, 240), (1, 30, 90), (1, 190, 241)}
+
+
 def planted(n_clean=20, holders=12, size=70):
     passage = text(size, 900).split()
     docs, spans = {}, {}
