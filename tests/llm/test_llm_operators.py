@@ -485,6 +485,15 @@ def test_runs_of_one_word_are_passages(spark):
     assert {r.doc_id for r in rows} == {0, 1, 2} and all(r.start >= 30 and r.end - r.start >= 40 for r in rows)
 
 
+def test_passages_are_found_at_every_place_of_a_document(spark):
+    own = [text(30, 70 + d, [f"o{d}x{i}" for i in range(99)]) for d in range(5)]
+    passage, other = text(50, 78), text(50, 78).split()
+    other[20] = "other"
+    docs = [" ".join([own[0], passage, own[1], passage, own[2], *other]), " ".join([own[3], passage, own[4]])]
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in rows} == {(0, 30, 80), (0, 110, 160), (0, 190, 240), (1, 30, 80)}
+
+
 def test_passages_of_copies_and_odd_rows(spark):
     docs = odd_documents(spark)
     rows = passages.repeated_passages(docs).collect()
