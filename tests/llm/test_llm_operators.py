@@ -485,6 +485,21 @@ def test_runs_of_one_word_are_passages(spark):
     assert {r.doc_id for r in rows} == {0, 1, 2} and all(r.start >= 30 and r.end - r.start >= 40 for r in rows)
 
 
+def test_passages_with_replaced_words_are_found(spark):
+    r, docs = random.Random(9), {}
+    for k in range(30):
+        own = [text(60, 4000 + 4 * k + j, [f"k{k}j{j}x{i}" for i in range(99)]) for j in range(4)]
+        ws, every = [f"p{k}x{i}" for i in range(60)], (6, 8, 10)[k % 3]
+        first = r.randrange(every)
+        other = [f"n{k}x{i}" if i % every == first else w for i, w in enumerate(ws)]
+        docs[2 * k], docs[2 * k + 1] = " ".join([own[0], *ws, own[1]]), " ".join([own[2], *other, own[3]])
+    rows = passages.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    # a share of .83 to .9 of the words is equal
+    for every, least in ((0, 9), (1, 10), (2, 10)):
+        found = {x.doc_id // 2 for x in rows if x.doc_id // 2 % 3 == every}
+        assert len(found) >= least, (every, found)
+
+
 def test_passages_are_found_at_every_place_of_a_document(spark):
     own = [text(30, 70 + d, [f"o{d}x{i}" for i in range(99)]) for d in range(5)]
     passage, other = text(50, 78), text(50, 78).split()
