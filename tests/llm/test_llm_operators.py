@@ -500,6 +500,17 @@ def test_passages_with_replaced_words_are_found(spark):
         assert len(found) >= least, (every, found)
 
 
+def test_spans_of_frequent_parts_are_found(spark):
+    own = iter([text(30, 5000 + d, [f"f{d}x{i}" for i in range(99)]) for d in range(40)])
+    docs = {}
+    for k in range(3):
+        lines = [" ".join(f"l{k}{j}x{i}" for i in range(26)) for j in "ab"]
+        for d, parts in enumerate([[lines[0]], [lines[1]], lines, lines, [lines[0]], [lines[1]]]):
+            docs[10 * d + k] = " ".join([next(own), *parts, next(own)])
+    rows = passages.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_doc_id, r.start, r.end) for r in rows} == {(20 + x + k, 30 - x + k, 30, 82) for k in range(3) for x in (0, 10)}
+
+
 def test_passages_are_found_at_every_place_of_a_document(spark):
     own = [text(30, 70 + d, [f"o{d}x{i}" for i in range(99)]) for d in range(5)]
     passage, other = text(50, 78), text(50, 78).split()
