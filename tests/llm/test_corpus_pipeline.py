@@ -12,7 +12,7 @@ COLUMNS = list(P.COLUMNS)
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    return spark.read.parquet(f"{SF}/documents.parquet")
 
 
 def test_stages_are_named_in_order():
