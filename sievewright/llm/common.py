@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 ROWS_PER_BATCH = 512
 #: Words whose hashes a Python worker remembers.
 MEMO_WORDS = 400_000
+#: Rows of a few numbers that Spark hands to Python at once.
+NUMBERS_PER_BATCH = 1 << 16
 
 #: A-Z become a-z; what is no letter, digit or byte of a non-ASCII character becomes a space.
 WORD_BYTES = bytes(
@@ -32,10 +35,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def whole_number(df: DataFrame, key: str) -> F.Column:
+    """The identifier as a long; others than whole numbers are refused."""
+    kind = dict(df.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} is {kind}: identifiers must be whole numbers")
+    return F.col(key).cast("long")
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """name, with as many underscores as tell it from all columns; Spark's names don't depend on case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names, whatever their case: result columns take their place."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+
+
+def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Bound the rows that one Arrow batch carries to Python, whose workers must find this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 _SHIPPED: set[str] = set()
@@ -54,11 +79,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a single process, as in tests,
+    gets one of its own; a cluster is refused, as its executors wouldn't find it."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+        if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not path:
             own = tempfile.mkdtemp(prefix="sievewright-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -84,12 +112,16 @@ def drop_written(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_table(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+def write_table(df: DataFrame, name: str, level: int = 3, batch: int = ROWS_PER_BATCH) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, so lost executors repeat nothing before it.
-    level: how hard the files are compressed."""
+    level: how hard the files are compressed; batch: rows that Python gets at once meanwhile, more where rows are numbers."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    small_batches(spark, batch)
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    finally:
+        small_batches(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

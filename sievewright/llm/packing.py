@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, write_table
+from .common import small_batches, whole_number, write_table
 from .token_ids import encoder
 
 SEQUENCE = 2048
@@ -109,7 +109,7 @@ def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int, key: str, text:
     """part, doc_id, source, n, before (ids of the same source earlier in the part) and ids; written to the shared folder,
     so that every later step sees one order of the documents."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    rows = docs.select(whole_number(docs, key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path)

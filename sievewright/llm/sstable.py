@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, small_batches, write_table
+from .common import filesystem, fresh_path, small_batches, whole_number, write_table
 from .token_ids import encoder
 
 BLOCK_BYTES = 64 << 10
@@ -193,7 +193,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = 2, key: st
     fs, where = filesystem(folder)
     fs.create_dir(where)
     small_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(whole_number(docs, key).alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
