@@ -7,7 +7,7 @@ The cut between the classes is calibrated on rows set aside and moved to a score
 or doc_id are inputs of a score.
 
 Edge cases: an empty text is one chunk of padding; without labels of both kinds every score is the smoothed share of good
-rows; repeated rows get equal scores.
+rows; repeated rows get equal scores, whatever rows are scored with them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .learning import Adam, best_threshold, is_calibration, labelled_sample, remainder, score, sigmoid
 
 WIDTH, DIM, FILTERS, HIDDEN = 5, 8, 32, 16
+#: Zeros between texts: as many places as a filter reaches ahead.
+PAD = WIDTH - 1
 #: Chunks are runs of segments: CHUNK segments of SEGMENT bytes, a chunk every STRIDE segments.
 SEGMENT, CHUNK, STRIDE = 64, 4, 3
 EPOCHS, BATCH, SEED = 8, 32, 11
@@ -29,10 +31,11 @@ SAMPLE_ROWS = 4000
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, each text padded with zeros to whole segments; the first segment of each chunk, its last one, and the
-    first chunk of each text. Every segment is in a chunk, so that chunks cover the whole document."""
-    size = np.array([max(1, -(-(len(t) + WIDTH - 1) // SEGMENT)) for t in texts], np.int64)
-    data = b"".join(t + bytes(int(n) * SEGMENT - len(t)) for t, n in zip(texts, size, strict=True))
+    """All bytes, each text with PAD zeros before it and padded with zeros to whole segments, and PAD zeros at the end, so that
+    no filter reaches from one text into another; the first segment of each chunk, its last one, and the first chunk of each
+    text. Every segment is in a chunk, so that chunks cover the whole document."""
+    size = np.array([-(-(len(t) + PAD) // SEGMENT) for t in texts], np.int64)
+    data = b"".join(bytes(PAD) + t + bytes(int(n) * SEGMENT - len(t) - PAD) for t, n in zip(texts, size, strict=True)) + bytes(PAD)
     chunks = np.maximum(1, -(-(size - CHUNK) // STRIDE) + 1)
     first_chunk = np.cumsum(chunks) - chunks
     place = np.arange(int(chunks.sum())) - np.repeat(first_chunk, chunks)
@@ -55,9 +58,11 @@ class Model:
         return out
 
     def activations(self, data: np.ndarray, taps: np.ndarray) -> np.ndarray:
-        y = taps[0][data]
+        """The filters at every place of data but the last PAD ones."""
+        n = len(data) - PAD
+        y = taps[0][data[:n]]
         for j in range(1, WIDTH):
-            y[:-j] += taps[j][data[j:]]
+            y += taps[j][data[j : n + j]]
         return y
 
     def chunk_max(self, segments: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -69,16 +74,19 @@ class Model:
         data, begin, end, first = layout(texts)
         # groups of segments keep the activations small for very long texts
         step = 1 << 12
-        whole = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
         parts = []
-        for i in range(0, len(data), step * SEGMENT):
-            y = self.activations(whole[i : i + step * SEGMENT + WIDTH - 1], taps)[: min(step * SEGMENT, len(data) - i)]
+        for i in range(0, len(data) - PAD, step * SEGMENT):
+            y = self.activations(data[i : i + step * SEGMENT + PAD], taps)
             parts.append(y.reshape(-1, SEGMENT, FILTERS).max(1))
         pooled = np.maximum(self.chunk_max(np.concatenate(parts), begin, end) + p["b"], 0)
-        hidden = np.maximum(pooled @ p["h"] + p["hb"], 0)
+        # sums in one order whatever the batch: a matrix product's order depends on its size
+        hidden = np.tile(p["hb"], (len(pooled), 1))
+        for f in range(FILTERS):
+            hidden += pooled[:, f : f + 1] * p["h"][f]
+        hidden = np.maximum(hidden, 0)
         n = np.diff(np.concatenate([first, [len(begin)]]))
         mean = np.add.reduceat(hidden, first, axis=0) / n[:, None]
-        return np.hstack([np.maximum.reduceat(hidden, first, axis=0), mean]) @ p["v"] + p["c"]
+        return (np.hstack([np.maximum.reduceat(hidden, first, axis=0), mean]) * p["v"]).sum(1) + p["c"]
 
     def scorer(self):
         taps = None if self.prior is not None else self.taps()
@@ -123,7 +131,7 @@ def batch_step(model: Model, adam: Adam, texts: list[bytes], label: np.ndarray,
     c, f = np.nonzero(gp)
     value = gp[c, f].astype(np.float32)
     gw, ge = np.zeros_like(p["w"]), np.zeros_like(p["e"])
-    flat = np.minimum(at[c, f][:, None] + np.arange(WIDTH), len(data) - 1)
+    flat = at[c, f][:, None] + np.arange(WIDTH)
     b = data[flat]
     for j in range(WIDTH):
         rows = p["e"][b[:, j]] * (b[:, j] > 0)[:, None] * value[:, None]
