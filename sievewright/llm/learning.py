@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes
+from .common import map_rows, text_bytes, write_table
 
 #: Labelled rows that a model is fitted on at most, the ones with the least hash of their identifier.
 SAMPLE_ROWS = 6000
+#: Bytes of text that a model is fitted on at most.
+SAMPLE_BYTES = 48 << 20
 
 
 def remainder(key: F.Column, divisor: int) -> F.Column:
@@ -21,17 +23,27 @@ def remainder(key: F.Column, divisor: int) -> F.Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learn: Callable[[F.Column], F.Column], rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str, learn: Callable[[F.Column], F.Column], rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text",
+    size: int = SAMPLE_BYTES,
 ) -> list[tuple[int, bytes, int]]:
-    """(identifier, UTF-8 text, label) of at most `rows` rows among those that learn() allows, in order of the identifier.
-    Rows without an identifier or a label are left out; of several labels for one identifier the largest counts."""
+    """(identifier, UTF-8 text, label) of at most `rows` rows and `size` bytes among those that learn() allows, in order of the
+    identifier. Rows without an identifier or a label are left out; of several labels for one identifier the largest counts, of
+    several texts the one that sorts first. Identifiers come in order of their hash; a text that no longer fits is passed over."""
     some = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & learn(F.col(key)))
     some = some.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("key"), "key").limit(rows)
     texts = text_bytes(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    found = texts.join(F.broadcast(some), "key").collect()  # `rows` rows bound the broadcast and what comes back
-    unique = {r["key"]: (r["key"], bytes(r["text"] or b""), r["label"]) for r in found}
-    return [unique[k] for k in sorted(unique)]
+    # `rows` rows bound the broadcast and the table; repeats of an identifier end in the aggregation
+    found = texts.join(F.broadcast(some), "key").groupBy("key").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"), F.max("label").alias("label"))
+    found = write_table(found, "sample")
+    left, kept = size, []
+    for r in found.select("key", F.octet_length("text").alias("n")).orderBy(F.xxhash64("key"), "key").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            kept.append(r["key"])
+    if len(kept) < found.count():
+        found = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in kept], found.select("key").schema)), "key")
+    return sorted((r["key"], bytes(r["text"]), r["label"]) for r in found.collect())
 
 
 class Adam:
