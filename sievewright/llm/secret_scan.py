@@ -36,8 +36,11 @@ DIGEST_LENGTHS = {16, 32, 40, 48, 56, 64, 96, 128}
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 SEPARATORS = re.compile(r"[-_/+=]+")
-#: A part between separators: words of three letters or more held together by camel case, then or else a short number.
-PART = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z]))*[0-9]{0,4}")
+#: A part between separators: words of three letters or more held together by camel case, then or else a short number. Where
+#: its words end is certain, so that nothing is tried again and time is linear.
+PART = re.compile(r"(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,}(?![a-z]))*+[0-9]{0,4}")
+#: Characters that are encoded at once, so that time is linear in very long runs.
+ENCODED = 4096
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CHARS_PER_TOKEN = 2.0
 
@@ -66,7 +69,12 @@ def is_identifier(s: str, enc: tiktoken.Encoding) -> bool:
     parts = [x for x in SEPARATORS.split(s) if x]
     if not all(PART.fullmatch(x) for x in parts):
         return False
-    return all(len(w) >= CHARS_PER_TOKEN * len(enc.encode_ordinary(w)) for x in parts for w in WORD.findall(x))
+    return all(len(w) >= CHARS_PER_TOKEN * n_tokens(w, enc) for x in parts for w in WORD.findall(x))
+
+
+def n_tokens(s: str, enc: tiktoken.Encoding) -> int:
+    """Tokens of s, each ENCODED characters on their own."""
+    return sum(len(enc.encode_ordinary(s[i : i + ENCODED])) for i in range(0, len(s), ENCODED))
 
 
 def is_known(s: str, enc: tiktoken.Encoding) -> bool:
@@ -77,10 +85,14 @@ def is_known(s: str, enc: tiktoken.Encoding) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], enc: tiktoken.Encoding, ratio: float) -> list[tuple[int, int, int]]:
-    found = []
+    """Random strings that meet none of `taken`, which is in order."""
+    found, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not any(a < e and s < b for a, _, b in taken) and (e - s) / len(enc.encode_ordinary(m[0])) < ratio:
+        while i < len(taken) and taken[i][0] < e:
+            reach = max(reach, taken[i][2])
+            i += 1
+        if reach <= s and (e - s) / n_tokens(m[0], enc) < ratio:
             if not is_known(m[0], enc):
                 found.append((s, 3, e))
     return found
