@@ -39,6 +39,9 @@ class Rule:
         return f"*.{self.host}{self.path}**"
 
 
+#: Bytes of strings that the automaton holds at once, filled up to the longest.
+ROOM = 4 << 20
+
 #: Globs over "." + host + path that block a URL which no host rule judges.
 BLOCKED_GLOBS = ("**/ads/**", "**/login/**", "**/cgi-bin/**", "**.exe", "**.zip", "**.swf")
 
@@ -83,8 +86,19 @@ class Automaton:
                     self.loop[some, at // 64] |= np.uint64(1 << at % 64)
             self.final.append(at)
 
-    def match(self, strings: list[bytes]) -> np.ndarray:
-        """A boolean for each string and glob: does the glob match the whole string?"""
+    def match(self, strings: list[bytes], room: int = ROOM) -> np.ndarray:
+        """A boolean for each string and glob: does the glob match the whole string? Strings of like length go together, so that
+        a group takes `room` bytes, or those of its one string."""
+        out = np.empty((len(strings), len(self.final)), bool)
+        order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
+        at = 0
+        while at < len(order):
+            group = order[at : at + max(1, room // max(1, len(strings[order[at]])))]
+            out[group] = self.match_group([strings[i] for i in group])
+            at += len(group)
+        return out
+
+    def match_group(self, strings: list[bytes]) -> np.ndarray:
         n = len(strings)
         size = np.fromiter(map(len, strings), np.int64, n)
         order = np.argsort(-size, kind="stable")
