@@ -494,64 +494,95 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return write_table(out.withColumnRenamed("key", key), "flac", level=6)
 
 
-def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", samples: int = 65536) -> DataFrame:
-    """PCM blocks of every stream: key, block, sample_offset, n_samples, channels, bits and pcm, the samples interleaved,
-    little endian, 8-bit ones unsigned. A reader finds sample s in the block whose sample_offset is the last one up to s."""
-    df = media.select(F.col(key).alias("key"), F.col(column).alias("media"))
+def pcm_blocks(
+    media: DataFrame, key: str = "doc_id", column: str = "media", samples: int = 65536, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """PCM blocks of every stream, one after the other: key, block, sample_offset, n_samples, channels, bits and pcm, the samples
+    interleaved, little endian, 8-bit ones unsigned; total_samples and kinds (frames that are constant, verbatim, fixed and
+    linear) of the whole stream; and the stream's columns named in keep. A reader finds sample s in the block whose
+    sample_offset is the last one up to s. A null stream and one without samples have no blocks."""
+    own = ("key", "block", "sample_offset", "n_samples", "channels", "bits", "pcm", "total_samples", "kinds")
+    df = media.select(F.col(key).alias("key"), F.col(column).alias("media"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
+    names = (*own, *(f"keep{i}" for i in range(len(keep))))
 
     def make():
         def step(batch: dict[str, list]) -> dict[str, list]:
-            names = ("key", "block", "sample_offset", "n_samples", "channels", "bits", "pcm")
             out: dict[str, list] = {n: [] for n in names}
-            kept = [(k, m) for k, m in zip(batch["key"], batch["media"], strict=True) if m is not None]
-            for (k, _), (info, x, _) in zip(kept, decode([m for _, m in kept]), strict=True):
+            at = [i for i, m in enumerate(batch["media"]) if m is not None]
+            for i, (info, x, kinds) in zip(at, decode([batch["media"][i] for i in at]), strict=True):
                 flat, size = x.reshape(-1, info.channels), (info.bits + 7) // 8
-                for b, at in enumerate(range(0, len(flat), samples)):
-                    part = flat[at : at + samples].reshape(-1).astype("<i8") + (128 if info.bits == 8 else 0)
+                for b, begin in enumerate(range(0, len(flat), samples)):
+                    part = flat[begin : begin + samples].reshape(-1).astype("<i8") + (128 if info.bits == 8 else 0)
                     pcm = part.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-                    row = (k, b, at, len(flat[at : at + samples]), info.channels, info.bits, pcm)
-                    for n, v in zip(names, row, strict=True):
+                    row = (batch["key"][i], b, begin, len(part) // info.channels, info.channels, info.bits, pcm, len(flat), kinds)
+                    for n, v in zip(names, (*row, *(batch[f"keep{k}"][i] for k in range(len(keep)))), strict=True):
                         out[n].append(v)
             return out
 
         return step
 
-    kind = dict(df.dtypes)["key"]
-    schema = f"key {kind}, block long, sample_offset long, n_samples long, channels int, bits int, pcm binary"
-    return map_rows(df, make, schema).withColumnRenamed("key", key)
-
-
-def features(x: np.ndarray, kinds: list[int]) -> str:
-    """Figures of the samples and of how the frames were coded, as whole numbers."""
-    flat = x.reshape(-1).astype(np.int64)
-    crossings = int(np.count_nonzero((flat[1:] < 0) != (flat[:-1] < 0)))
-    named = zip(("constant", "verbatim", "fixed", "linear"), kinds, strict=True)
-    parts = [f"frames={len(x)}", *(f"{n}={v}" for n, v in named), f"sum={int(flat.sum())}", f"energy={int((flat * flat).sum())}"]
-    return ";".join([*parts, f"peak={int(np.abs(flat).max(initial=0))}", f"crossings={crossings}"])
-
-
-def digests(media: DataFrame, key: str = "doc_id", tail: int = 16) -> DataFrame:
-    """key, n_bytes and what reading the stored streams back gives: size and SHA-256 of payload and stream, CRC-32 of the
-    last samples, and features."""
-    df = media.select(F.col(key).alias("key"), "n_bytes", "media")
-    kind = dict(df.dtypes)["key"]
-    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    types = dict(df.dtypes)
+    schema = f"key {types['key']}, block long, sample_offset long, n_samples long, channels int, bits int, pcm binary, total_samples long, kinds array<long>"
+    schema += "".join(f", keep{i} {types[f'keep{i}']}" for i in range(len(keep)))
+    return map_rows(df, make, schema).withColumnsRenamed({"key": key, **{f"keep{i}": c for i, c in enumerate(keep)}})
+
+
+class Figures:
+    """What the blocks of one 8-bit mono stream add up to, one block after the other."""
+
+    def __init__(self) -> None:
+        self.sha, self.n, self.tail = hashlib.sha256(), 0, b""
+        self.sum = self.energy = self.peak = self.crossings = 0
+        self.negative: bool | None = None
+
+    def add(self, pcm: bytes, tail: int) -> None:
+        self.sha.update(pcm)
+        self.n += len(pcm)
+        self.tail = (self.tail + pcm[-tail:])[-tail:]
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        if len(x):
+            below = x < 0
+            self.crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (self.negative is not None and self.negative != bool(below[0]))
+            self.negative = bool(below[-1])
+            self.sum += int(x.sum())
+            self.energy += int((x * x).sum())
+            self.peak = max(self.peak, int(np.abs(x).max()))
+
+    def feature(self, kinds: list[int]) -> str:
+        """Figures of the samples and of how the frames were coded, as whole numbers."""
+        named = zip(("constant", "verbatim", "fixed", "linear"), kinds, strict=True)
+        parts = [f"frames={sum(kinds)}", *(f"{n}={v}" for n, v in named), f"sum={self.sum}", f"energy={self.energy}"]
+        return ";".join([*parts, f"peak={self.peak}", f"crossings={self.crossings}"])
+
+
+def digests(media: DataFrame, key: str = "doc_id", tail: int = 16, samples: int = 65536) -> DataFrame:
+    """key, n_bytes and what reading the stored streams back as PCM blocks gives: size and SHA-256 of payload and stream, CRC-32
+    of the last samples, features, and n_blocks. The blocks of a stream follow one another, so that a task holds one of them
+    and the figures so far, however long a stream is."""
+    df = media.select(
+        F.col(key).alias("key"), "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")
+    )
+    blocks = pcm_blocks(df, "key", samples=samples, keep=("n_bytes", "media_bytes", "media_sha256"))
+    blocks = blocks.select("key", "sample_offset", "n_samples", "pcm", "total_samples", "kinds", "n_bytes", "media_bytes", "media_sha256")
+    schema = f"key {dict(df.dtypes)['key']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def make():
+        now, n = Figures(), 0
+
         def step(batch: dict[str, list]) -> dict[str, list]:
-            read = decode(batch["media"])
-            payloads = [(x.reshape(-1) + 128).astype(np.uint8).tobytes() for _, x, _ in read]
-            return {
-                "key": batch["key"],
-                "n_bytes": batch["n_bytes"],
-                "payload_bytes": list(map(len, payloads)),
-                "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-                "tail_crc32": [zlib.crc32(p[-tail:]) for p in payloads],
-                "media_bytes": list(map(len, batch["media"])),
-                "media_sha256": [hashlib.sha256(m).hexdigest() for m in batch["media"]],
-                "feature": [features(x, kinds) for _, x, kinds in read],
-            }
+            nonlocal now, n
+            out: dict[str, list] = {c: [] for c in names}
+            for i, pcm in enumerate(batch["pcm"]):
+                now.add(pcm, tail)
+                n += 1
+                if batch["sample_offset"][i] + batch["n_samples"][i] == batch["total_samples"][i]:
+                    row = (now.n, now.sha.hexdigest(), zlib.crc32(now.tail), batch["media_bytes"][i], batch["media_sha256"][i], now.feature(batch["kinds"][i]), n)
+                    for c, v in zip(names, (batch["key"][i], batch["n_bytes"][i], *row), strict=True):
+                        out[c].append(v)
+                    now, n = Figures(), 0
+            return out
 
         return step
 
-    return map_rows(df, make, schema).withColumnRenamed("key", key)
+    return map_rows(blocks, make, schema).withColumnRenamed("key", key)
