@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, map_rows, mix, small_batches, text_bytes, word_hashes, words, write_table
+from .common import gram_hashes, map_rows, mix, small_batches, text_bytes, whole_number, word_hashes, words, write_table
 from .components import components
 
 SHINGLE = 5
@@ -108,7 +108,7 @@ def digest(ws: list[bytes], text: bytes) -> bytes:
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, digest of the words, and band keys (none for fewer than five words); written to the shared folder."""
-    df = text_bytes(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    df = text_bytes(docs.where(F.col(key).isNotNull()).select(whole_number(docs, key).alias("key"), F.col(text).alias("text")))
 
     def make():
         def step(batch: dict[str, list]) -> dict[str, list]:
@@ -129,10 +129,11 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     return write_table(map_rows(df, make, "key long, digest binary, bands array<long>"), "probminhash")
 
 
-def only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of df whose key is among ids (column key, distinct): by broadcast up to a checked number of ids, else by shuffle."""
+def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is among ids (column key, distinct), or with left_anti isn't: by broadcast up to a checked number of
+    ids, else by shuffle."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, "key", "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, "key", how)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
