@@ -165,6 +165,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A 64-bit number for each byte of a word.
+BYTE_HASHES = mix(np.arange(1, 257, dtype=np.uint64) * ROLL)
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after the other, and how many words each text has. The sum of a word's
+    bytes' numbers times powers of ROLL, so that all bytes are worked on at once."""
+    raw = np.frombuffer(b" ".join([t or b"" for t in texts]).translate(WORD_BYTES) + b" ", np.uint8)
+    inside = raw != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.r_[0, edges] if len(raw) and inside[0] else edges
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    length = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
+    counts = np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(length)]))
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    begin = np.cumsum(sizes) - sizes
+    powers = np.full(int(sizes.max()), ROLL, np.uint64)
+    powers[0] = 1
+    values = BYTE_HASHES[raw[inside]]
+    values *= np.cumprod(powers)[np.arange(len(values)) - np.repeat(begin, sizes)]
+    return mix(np.add.reduceat(values, begin) + sizes.astype(np.uint64)), counts
+
+
+def split_at(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The hashes of each text."""
+    ends = np.cumsum(counts).tolist()
+    return [h[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def text_groups(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about `size` bytes, so that arrays over them stay small; a longer text is alone."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        n = len(t or b"")
+        if i > first and held + n > size:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def word_digest(h: np.ndarray, text: bytes | None) -> bytes:
+    """A 128-bit digest of a text's words by their hashes; of the text itself if it has none."""
+    return xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"\0" + (text or b""))
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; none if there are fewer."""
     n = len(h) - k + 1
