@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, map_rows, minimizers, text_bytes, without, word_hashes, words, write_table
+from .common import gram_hashes, hashed_words, map_rows, minimizers, split_at, text_bytes, text_groups, without, words, write_table
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
@@ -118,7 +118,7 @@ def blocks(benchmark: DataFrame, key: str, text: str, size: int) -> Iterator[Blo
     size = max(size, WINDOW)
     now, n = [], 0
     for r in rows.where("text is not null").toLocalIterator(prefetchPartitions=False):
-        whole = word_hashes(words(bytes(r["text"])))
+        whole, _ = hashed_words([bytes(r["text"])])
         step = size - WINDOW + 1
         for s in range(0, max(1, len(whole) - WINDOW + 1), step):
             h = whole[s : s + size]
@@ -187,9 +187,11 @@ def with_hits(docs: DataFrame, held, schema: str) -> DataFrame:
         block: Block = held.value
 
         def step(batch: dict[str, list]) -> dict[str, list]:
+            each = []
+            for i, j in text_groups(batch["raw"]):
+                each += split_at(*hashed_words(batch["raw"][i:j]))
             counts, all_runs, all_items = [], [], []
-            for raw, runs, items in zip(batch["raw"], batch["runs"], batch["items"], strict=True):
-                h = word_hashes(words(raw))
+            for h, runs, items in zip(each, batch["runs"], batch["items"], strict=True):
                 hit, found = block.hits(h)
                 counts.append(len(h))
                 merged = merge_runs([(r["start"], r["end"]) for r in runs or ()] + runs_of(hit))
