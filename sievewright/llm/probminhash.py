@@ -23,11 +23,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, map_rows, mix, small_batches, text_bytes, whole_number, word_hashes, words, write_table
+from .common import NUMBERS_PER_BATCH, gram_hashes, hashed_words, map_rows, mix, small_batches, split_at, text_bytes, text_groups, whole_number, word_digest, write_table
 from .components import components
 
 SHINGLE = 5
@@ -42,8 +41,7 @@ BROADCAST_IDS = 1_000_000
 
 def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, sorted, and how often each occurs."""
-    g = gram_hashes(word_hashes(words(text)), SHINGLE)
-    return np.unique(g, return_counts=True)
+    return np.unique(gram_hashes(hashed_words([text])[0], SHINGLE), return_counts=True)
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -102,10 +100,6 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(total)
 
 
-def digest(ws: list[bytes], text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(ws) if ws else b"\0" + text)
-
-
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, digest of the words, and band keys (none for fewer than five words); written to the shared folder."""
     df = text_bytes(docs.where(F.col(key).isNotNull()).select(whole_number(docs, key).alias("key"), F.col(text).alias("text")))
@@ -113,12 +107,13 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     def make():
         def step(batch: dict[str, list]) -> dict[str, list]:
             digests, sets, at = [], [], []
-            for i, t in enumerate(batch["text"]):
-                ws = words(t)
-                digests.append(digest(ws, t or b""))
-                if len(ws) >= SHINGLE:
-                    at.append(i)
-                    sets.append(np.unique(gram_hashes(word_hashes(ws), SHINGLE), return_counts=True))
+            for i, j in text_groups(batch["text"]):
+                h, counts = hashed_words(batch["text"][i:j])
+                for k, own in enumerate(split_at(h, counts), i):
+                    digests.append(word_digest(own, batch["text"][k]))
+                    if len(own) >= SHINGLE:
+                        at.append(k)
+                        sets.append(np.unique(gram_hashes(own, SHINGLE), return_counts=True))
             bands: list[list[int]] = [[] for _ in digests]
             for i, keys in zip(at, band_keys(signatures(sets)).tolist() if sets else [], strict=True):
                 bands[i] = keys
@@ -152,6 +147,39 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return map_rows(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), make, "u long, v long").distinct()
 
 
+def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, key, p0 (the first key of the bucket here), p1 and p2 (the one and two keys before) of sorted rows (bucket, key).
+    A bucket of one key is left out, but for the first and the last bucket here, which may go on in another task."""
+    b, k = np.empty(0, np.int64), np.empty(0, np.int64)
+    seen, first_bucket, opened, opener = 0, None, None, 0  # rows that were given out, and the open bucket with its first key
+
+    def rows(upto: int, end: bool) -> pa.RecordBatch:
+        same1 = np.r_[False, b[1:] == b[:-1]]
+        same2 = np.r_[[False] * min(2, len(b)), b[2:] == b[:-2]] & same1
+        begin = np.maximum.accumulate(np.where(~same1, np.arange(len(b)), 0))
+        p0 = np.where((begin == 0) & (b == opened), opener, k[begin]) if opened is not None else k[begin]
+        edge = (b == first_bucket) | (b == b[-1] if end else False)
+        use = np.flatnonzero((same1 | np.r_[same1[1:], False] | edge) & (np.arange(len(b)) >= seen) & (np.arange(len(b)) < upto))
+        previous = lambda n, ok: pa.array(k[np.maximum(use - n, 0)], pa.int64(), mask=~ok[use])
+        columns = [pa.array(b[use]), pa.array(k[use]), pa.array(p0[use]), previous(1, same1), previous(2, same2)]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "key", "p0", "p1", "p2"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        b, k = (np.concatenate([x, np.asarray(c)]) for x, c in zip((b, k), batch.columns, strict=True))
+        first_bucket = int(b[0]) if first_bucket is None else first_bucket
+        # the last row waits for the next one
+        yield rows(len(b) - 1, False)
+        start = int(np.searchsorted(b, b[-1]))
+        if start or opened != int(b[-1]):
+            opened, opener = int(b[-1]), int(k[start])
+        kept = max(0, len(b) - 3)
+        b, k, seen = b[kept:], k[kept:], len(b) - 1 - kept
+    if len(b):
+        yield rows(len(b), True)
+
+
 def groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
     """Runs of rows whose first n_keys columns agree, from sorted batches."""
     now: list[tuple] = []
@@ -206,7 +234,7 @@ def mixed_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, thresho
     known = buckets.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("component", F.coalesce("component", "key"))
     mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = write_table(mixed.where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     rows = known.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key", "bucket"), "blocks").cast("int"))
     # a block meets every block of its bucket, itself included
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -234,8 +262,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     with equal words). The representative of a class is the row whose key is class_id."""
     small_batches(docs.sparkSession)
     described = describe(docs, key, text)
-    firsts = described.groupBy("digest").agg(F.min("key").alias("copy_of"))
-    copies = write_table(described.select("key", "digest").distinct().join(firsts, "digest").select("key", "copy_of"), "copies")
+    firsts = described.groupBy("digest").agg(F.min("key").alias("copy_of"), F.max("key").alias("last")).where("copy_of < last")
+    # both sides of the join are plain tables, so that adaptive execution can split a text with many copies
+    firsts = write_table(firsts.select("digest", "copy_of"), "copied")
+    copies = described.select("key", "digest").join(firsts, "digest", "left").select("key", F.coalesce("copy_of", "key").alias("copy_of"))
+    copies = write_table(copies.distinct(), "copies")
     # several texts may share an identifier: it is one document, and its texts' groups are one
     own = copies.groupBy("key").agg(F.min("copy_of").alias("copy_of"), F.max("copy_of").alias("other"))
     distinct = described.join(copies.where("key = copy_of").select("key").distinct(), "key", "left_semi")
@@ -243,12 +274,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     follow = F.concat(F.slice("bands", 2, BANDS), F.slice("bands", 1, 1))
     banded = distinct.where(F.size("bands") > 0).select("key", F.explode(F.arrays_zip(F.col("bands"), follow.alias("after"))).alias("z"))
     banded = banded.select("key", F.col("z.bands").alias("bucket"), F.col("z.after").alias("after"))
-    order = Window.partitionBy("bucket").orderBy("after", "key")
-    banded = banded.select(
-        "bucket", "key", F.lag("key", 1).over(order).alias("p1"), F.lag("key", 2).over(order).alias("p2"),
-        F.first("key").over(order).alias("p0"), F.lead("key").over(order).alias("n1"),
-    )
-    buckets = write_table(banded.where("p1 is not null or n1 is not null").drop("n1"), "buckets")
+    # by range, so that a bucket of many texts is spread over several tasks
+    banded = banded.repartitionByRange("bucket", "after", "key").sortWithinPartitions("bucket", "after", "key")
+    buckets = write_table(banded.select("bucket", "key").mapInArrow(neighbours, "bucket long, key long, p0 long, p1 long, p2 long"), "buckets", batch=NUMBERS_PER_BATCH)
     involved = buckets.select("key").distinct()
     texts = text_bytes(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).where("key is not null")
     texts = write_table(only(texts, involved), "texts")
