@@ -13,7 +13,7 @@ import pytest
 from sievewright.llm import common, decontamination, flac, holders, learning, packing, passages, probminhash, quality, secret_scan, toxicity, urlfilter
 from sievewright.llm import queries as Q
 
-from .test_llm_operators import SF, labelled, insult, odd_documents, payload, text
+from .test_llm_operators import labelled, insult, odd_documents, payload, text
 
 # --- words ------------------------------------------------------------------------------------------------------------
 
