@@ -6,8 +6,11 @@ that a top-k has bounded first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +70,16 @@ class Boost:
         n = T.count_terms(F.col(self.column), self.terms)
         return (F.least(n, F.lit(self.most)) if self.most else n) * F.lit(self.weight)
 
+    def greatest(self) -> float:
+        """What the boost adds at most; a negative weight adds nothing then."""
+        n = min(1, len(self.terms)) if self.any else len({t.lower() for t in self.terms})
+        return max(0.0, self.weight) * (min(n, self.most) if self.most and not self.any else n)
+
+    def slightest(self) -> float:
+        """What the boost adds at least."""
+        n = min(1, len(self.terms)) if self.any else len({t.lower() for t in self.terms})
+        return min(0.0, self.weight) * (min(n, self.most) if self.most and not self.any else n)
+
 
 @dataclass(frozen=True)
 class Ranking:
@@ -169,13 +182,20 @@ def required_terms(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
 def rerank(df: DataFrame, ranking: Ranking, by: Sequence[str], order: Sequence[str], final_k: int) -> DataFrame:
     """The final_k best rows (columns text, heading) of each group: the base score is the number of rows in the group less
-    the rank in `order` from 0, boosts are added, ties keep that order. Columns base, score and place are added. Boosts are
-    computed before the ranks, so that a caller who selects no text shuffles none."""
-    df = required_terms(df, ranking.required).withColumn("boost", sum((b.score() for b in ranking.boosts), F.lit(0.0)))
-    ranked = df.withColumn("base", F.count("*").over(Window.partitionBy(*by)) - F.row_number().over(Window.partitionBy(*by).orderBy(*order)) + 1)
-    scored = ranked.withColumn("score", F.col("base") + F.col("boost")).drop("boost")
+    the rank in `order` from 0, boosts are added, ties keep that order. Columns base, score and place are added. A row whose rank
+    is farther back than all boosts together can't be among the best, so that each task keeps a bounded number of rows a group
+    before the shuffle, and boosts are computed for these alone; groups are counted by partial aggregation."""
+    df = required_terms(df, ranking.required)
+    k = 2 * final_k if ranking.coverage else final_k
+    reach = k + math.ceil(sum(b.greatest() - b.slightest() for b in ranking.boosts))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("group_size"))
+    near = df.withColumn("order_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("order_rank") <= reach)
+    same = [near[c].eqNullSafe(sizes[c]) for c in by]
+    ranked = near.join(sizes, reduce(and_, same)).select(*(near[c] for c in near.columns), "group_size")
+    scored = ranked.withColumn("base", F.col("group_size") - F.col("order_rank") + 1).drop("group_size", "order_rank")
+    scored = scored.withColumn("score", F.col("base") + sum((b.score() for b in ranking.boosts), F.lit(0.0)))
     place = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("base"))
-    return scored.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= (2 * final_k if ranking.coverage else final_k))
+    return scored.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= k)
 
 
 def greedy_unique(df: DataFrame, by: Sequence[str], order: Sequence[str], key: str, most: int, same: str | None = None, similarity: float = 0.7, within: float = 0.9) -> DataFrame:
@@ -261,3 +281,44 @@ def similar_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, items: str
     pairs = prefix(ax, "ka", "wa").join(prefix(bx, "kb", "wb"), "w").select("ka", "kb").distinct()
     full = pairs.join(ax, "ka").join(bx, "kb").withColumn("similarity", T.jaccard(F.col("wa"), F.col("wb")))
     return full.where(F.col("similarity") >= least).select(F.col("ka").alias(key_a), F.col("kb").alias(key_b), "similarity")
+
+
+def rarest(df: DataFrame, keys: Sequence[str], items: str, counts: DataFrame, n: Column) -> DataFrame:
+    """keys, size, w and place: of each row's items the n (a column over `size`) that are rarest by counts (w, count), in that
+    order; ties by item."""
+    rows = df.select(*keys, F.size(items).alias("size"), F.explode(items).alias("w")).join(counts, "w", "left")
+    item = F.struct(F.coalesce("count", F.lit(0).cast("long")).alias("count"), "w")
+    lists = rows.groupBy(*keys, "size").agg(F.slice(F.array_sort(F.collect_list(item)), 1, n.cast("int")).alias("few"))
+    return lists.select(*keys, "size", F.posexplode("few").alias("place", "f")).select(*keys, "size", "place", "f.w")
+
+
+def similar_within(df: DataFrame, key: str, items: str, least: float, by: str) -> DataFrame:
+    """Pairs ka < kb of rows that agree on `by` and whose arrays of distinct items have a Jaccard similarity of `least` or more.
+    Candidates agree on `by`, are of like size and share one of their rarest items (see similar_pairs) at places that leave enough
+    items behind them: the first item that a pair has in common does. Items are compared by 64-bit hashes."""
+    hashes = F.transform(items, lambda w: F.xxhash64(w))
+    rows = df.select(F.col(key).alias("k"), F.col(by).alias("g"), hashes.alias("ws")).where(F.size("ws") > 0)
+    counts = rows.select(F.explode("ws").alias("w")).groupBy("w").count().where("count > 1")
+    few = rarest(rows, ["k", "g"], "ws", counts, F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).join(counts, "w", "left_semi")
+    x, y = few.alias("x"), few.alias("y")
+    like = (F.col("x.size") >= least * F.col("y.size") - 1e-9) & (F.col("y.size") >= least * F.col("x.size") - 1e-9)
+    behind = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    like &= behind >= (F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - 1e-9
+    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.k") < F.col("y.k")) & like)
+    pairs = pairs.select(F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), (F.col("x.size") + F.col("y.size")).alias("both")).distinct()
+    a, b = rows.select(F.col("k").alias("ka"), F.col("ws").alias("wa")), rows.select(F.col("k").alias("kb"), F.col("ws").alias("wb"))
+    shared = pairs.join(a, "ka").join(b, "kb").select("ka", "kb", "both", F.size(F.array_intersect("wa", "wb")).alias("shared"))
+    return shared.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= least).select("ka", "kb", "similarity")
+
+
+def holders_of(df: DataFrame, sets: DataFrame, key: str, set_key: str, items: str, members: str, more: float) -> DataFrame:
+    """key, set_key and share of rows that hold more than the share `more` of a set's distinct members. Such a row holds one of any
+    floor((1 - more) * size) + 1 members, so that only each set's rarest ones are joined."""
+    rows = df.select(key, F.explode(items).alias("w"))
+    wanted = sets.where(F.size(members) > 0)
+    words = wanted.select(F.explode(members).alias("w")).distinct()
+    counts = rows.join(words, "w").groupBy("w").count()
+    few = rarest(wanted, [set_key], members, counts, F.floor((1 - more) * F.col("size") + 1e-9) + 1).select(set_key, "w")
+    pairs = rows.join(few, "w").select(key, set_key).distinct()
+    both = pairs.join(df.select(key, items), key).join(wanted.select(set_key, members), set_key)
+    return both.withColumn("share", T.share_within(F.col(members), F.col(items))).where(F.col("share") > more).select(key, set_key, "share")

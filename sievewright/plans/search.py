@@ -94,20 +94,21 @@ SELECT vec_id, round(distance, 6) AS distance FROM (
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors nearest to vector 0 among those of its label."""
     store = load(spark, sf_dir, "embeddings")
-    one = store.where("vec_id = 0").select(F.col("embedding").alias("q"), F.col("label").alias("wanted"))
-    found = R.filtered_search(store.join(F.broadcast(one.select("wanted").limit(1)), F.col("label") == F.col("wanted")).drop("wanted"), one.select("q"), 10, F.lit(True))
+    one = store.where("vec_id = 0").select(F.col("embedding").alias("q"), "label")
+    wanted = one.select("label").first()  # one value, so that the filter reaches the scan
+    found = R.filtered_search(store, one.select("q"), 10, F.col("label") == F.lit(wanted[0]) if wanted else F.lit(False))
     return found.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("""WITH q AS (SELECT label, vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 40),
+@query("""WITH q AS (SELECT label, vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT e.label, query_id, e.vec_id, list_sum([(x[1]::double - x[2]) * (x[1]::double - x[2]) for x in list_zip(embedding, q.q)]) AS distance
   FROM embeddings e JOIN q ON e.label = q.label)
 SELECT label, query_id, vec_id, round(distance, 6) AS distance, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
 def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For forty queries the five nearest vectors of the query's label, in one plan."""
+    """For every twentieth vector the five nearest vectors of its label, in one plan."""
     store = load(spark, sf_dir, "embeddings")
-    queries = store.where("vec_id < 40").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = store.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return R.search_per_group(store, queries, 5, "label").select("label", "query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
@@ -134,23 +135,19 @@ WHERE len(a.ws) > 0 AND len(b.ws) > 0 AND least(len(a.ws), len(b.ws)) >= 0.8 * g
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents of one language with word sets of Jaccard similarity .8 or more, by a prefix join."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", T.token_set(F.col("text")).alias("ws"))
-    a = docs.select(F.col("doc_id").alias("doc_a"), F.col("lang").alias("la"), "ws")
-    b = docs.select(F.col("doc_id").alias("doc_b"), F.col("lang").alias("lb"), "ws")
-    pairs = R.similar_pairs(a, b, "doc_a", "doc_b", "ws", 0.8).where("doc_a < doc_b")
-    pairs = pairs.join(a.select("doc_a", "la"), "doc_a").join(b.select("doc_b", "lb"), "doc_b").where("la = lb")
-    return pairs.select("doc_a", "doc_b", F.round("similarity", 6).alias("similarity"))
+    pairs = R.similar_within(docs, "doc_id", "ws", 0.8, "lang")
+    return pairs.select(F.col("ka").alias("doc_a"), F.col("kb").alias("doc_b"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {SETS.format(c="text")} AS ws FROM documents),
 b AS (SELECT item_id, {SETS.format(c="text")} AS bs FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(bs, ws)) / len(bs), 6) AS share FROM b JOIN d ON len(list_intersect(bs, ws)) > 0.9 * len(bs) WHERE len(bs) > 0""")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold more than nine tenths of an item's distinct words, counted through the words they share."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.explode(T.token_set(F.col("text"))).alias("w"))
+    """Documents that hold more than nine tenths of an item's distinct words, found through the item's rarest tenth and one."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", T.token_set(F.col("text")).alias("ws"))
     items = load(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("bs"))
-    words = items.select("item_id", F.size("bs").alias("n"), F.explode("bs").alias("w"))
-    shared = docs.join(words, "w").groupBy("doc_id", "item_id", "n").count()
-    return shared.where("count > 0.9 * n").select("doc_id", "item_id", F.round(F.col("count") / F.col("n"), 6).alias("share"))
+    found = R.holders_of(docs, items, "doc_id", "item_id", "ws", "bs", 0.9)
+    return found.select("doc_id", "item_id", F.round("share", 6).alias("share"))
 
 
 @query()
