@@ -31,12 +31,12 @@ ROW_LABEL = r"Row \d+:"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(c: Column) -> Column:
     """Tokens between runs of white space."""
-    return F.filter(F.split(strip(c), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
 
 def remove_links(c: Column) -> Column:
