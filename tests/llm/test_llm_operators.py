@@ -124,7 +124,11 @@ def test_quality_chunks_cover_every_byte():
         data, begin, end, first = quality.layout([b"x" * n, b"y"])
         mine = [(b, e) for b, e in zip(begin[: first[1]], end[: first[1]], strict=True)]
         assert mine[0][0] == 0 and all(b <= e0 for (_, e0), (b, _) in itertools.pairwise(mine))
-        assert mine[-1][1] * quality.SEGMENT >= n and data[:n].tobytes() == b"x" * n
+        pad = quality.PAD
+        assert mine[-1][1] * quality.SEGMENT >= pad + n and data[: pad + n].tobytes() == bytes(pad) + b"x" * n
+        # zeros before and behind the next text
+        at = mine[-1][1] * quality.SEGMENT
+        assert data[at : at + pad + 1].tobytes() == bytes(pad) + b"y" and not data[-pad:].any()
 
 
 def test_quality_takes_odd_rows(spark):
