@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows that Spark hands to Python at once; whole texts are long, so a batch stays small.
 ROWS_PER_BATCH = 512
 #: Words whose hashes a Python worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 #: Rows of a few numbers that Spark hands to Python at once.
 NUMBERS_PER_BATCH = 1 << 16
 
