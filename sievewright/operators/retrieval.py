@@ -184,8 +184,9 @@ def rerank(df: DataFrame, ranking: Ranking, by: Sequence[str], order: Sequence[s
     """The final_k best rows (columns text, heading) of each group: the base score is the number of rows in the group less
     the rank in `order` from 0, boosts are added, ties keep that order. Columns base, score and place are added. A row whose rank
     is farther back than all boosts together can't be among the best, so that each task keeps a bounded number of rows a group
-    before the shuffle, and boosts are computed for these alone; groups are counted by partial aggregation."""
-    df = required_terms(df, ranking.required)
+    before the shuffle; groups are counted by partial aggregation. Boosts are computed before the ranks, so that a caller who
+    selects no text shuffles none."""
+    df = required_terms(df, ranking.required).withColumn("boost", sum((b.score() for b in ranking.boosts), F.lit(0.0)))
     k = 2 * final_k if ranking.coverage else final_k
     reach = k + math.ceil(sum(b.greatest() - b.slightest() for b in ranking.boosts))
     sizes = df.groupBy(*by).agg(F.count("*").alias("group_size"))
@@ -193,7 +194,7 @@ def rerank(df: DataFrame, ranking: Ranking, by: Sequence[str], order: Sequence[s
     same = [near[c].eqNullSafe(sizes[c]) for c in by]
     ranked = near.join(sizes, reduce(and_, same)).select(*(near[c] for c in near.columns), "group_size")
     scored = ranked.withColumn("base", F.col("group_size") - F.col("order_rank") + 1).drop("group_size", "order_rank")
-    scored = scored.withColumn("score", F.col("base") + sum((b.score() for b in ranking.boosts), F.lit(0.0)))
+    scored = scored.withColumn("score", F.col("base") + F.col("boost")).drop("boost")
     place = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("base"))
     return scored.withColumn("place", F.row_number().over(place).cast("long")).where(F.col("place") <= k)
 
