@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, tokens
+from .text import let, strip, tokens
 
 # Patterns of the scores (fixed values).
 DOSAGE = (
@@ -42,10 +42,8 @@ def filled(t: Column) -> Column:
 
 def structure_score(t: Column) -> Column:
     """1 for 3 to 50 rows, a first row of 2 to 10 cells, a row length that 70 % share, and 30 to 95 % of cells filled."""
-    sizes = F.transform(t, F.size)
-    common = F.array_max(F.transform(sizes, lambda n: F.size(F.filter(sizes, lambda m: m == n))))
-    cells = F.size(F.flatten(t))
-    density = F.size(filled(t)) / F.greatest(cells, F.lit(1))
+    common = let(F.transform(t, F.size), lambda sizes: F.array_max(F.transform(F.array_distinct(sizes), lambda n: F.size(F.filter(sizes, lambda m: m == n)))))
+    density = F.size(filled(t)) / F.greatest(F.size(F.flatten(t)), F.lit(1))
     shape = F.size(t).between(3, 50) & F.size(F.get(t, F.lit(0))).between(2, 10)
     return F.when(shape & (common / F.size(t) >= 0.7) & density.between(0.3, 0.95), 1.0).otherwise(0.0)
 
@@ -62,7 +60,10 @@ def is_numeric_like(c: Column) -> Column:
 
 
 def content_score(t: Column) -> Column:
-    cells = filled(t)
+    return let(filled(t), score_of_cells)
+
+
+def score_of_cells(cells: Column) -> Column:
     n = F.size(cells)
     numeric = F.size(F.filter(cells, is_numeric_like)) / n
     short = F.size(F.filter(cells, lambda c: F.size(tokens(c)) <= 5)) / n
@@ -76,16 +77,22 @@ def content_score(t: Column) -> Column:
 
 
 def domain_score(t: Column) -> Column:
-    text = F.lower(F.array_join(filled(t), " "))
-    dosage, pricing = any_of(text, DOSAGE), any_of(text, PRICING)
-    score = dosage.cast("int") * 0.4 + pricing.cast("int") * 0.4 + any_of(text, MEDICAL).cast("int") * 0.2 + (dosage & pricing).cast("int") * 0.2
-    return F.least(score, F.lit(1.0))
+    def score(text: Column) -> Column:
+        found = F.struct(any_of(text, DOSAGE).alias("dosage"), any_of(text, PRICING).alias("pricing"), any_of(text, MEDICAL).alias("medical"))
+        return let(found, lambda f: f["dosage"].cast("int") * 0.4 + f["pricing"].cast("int") * 0.4 + f["medical"].cast("int") * 0.2 + (f["dosage"] & f["pricing"]).cast("int") * 0.2)
+
+    return F.least(let(F.lower(F.array_join(filled(t), " ")), score), F.lit(1.0))
+
 
+def scores(t: Column) -> Column:
+    """The scores that all levels weigh, as one struct, so that a caller computes them once."""
+    return F.struct(structure_score(t).alias("structure"), content_score(t).alias("content"), domain_score(t).alias("domain"))
 
-def is_valid(t: Column, lines: Column, level: int) -> Column:
-    """Does the weighted score pass the level? lines: the score of ruled lines, 0 to 1."""
+
+def is_valid(s: Column, lines: Column, level: int) -> Column:
+    """Does the weighted sum of scores pass the level? lines: the score of ruled lines, 0 to 1."""
     (a, b, c, d), least = LEVELS[level]
-    return structure_score(t) * a + content_score(t) * b + lines * c + domain_score(t) * d > least
+    return s["structure"] * a + s["content"] * b + lines * c + s["domain"] * d > least
 
 
 def headers(t: Column) -> Column:
@@ -122,8 +129,11 @@ def bare_row_text(row: Column, n: Column) -> Column:
 
 
 def narrative(t: Column, title: Column) -> Column:
-    """A table as text: title, columns and a line for each row."""
-    rows, names = clean(t), headers(clean(t))
+    """A table as text: title, columns and a line for each row. Rows are cleaned and headers found once a table."""
+    return let(clean(t), lambda rows: let(headers(rows), lambda names: told(rows, names, title)))
+
+
+def told(rows: Column, names: Column, title: Column) -> Column:
     head = F.when(title.isNotNull() & (title != ""), F.concat(F.lit("Table Title: "), title, F.lit("\n\n"))).otherwise(F.lit(""))
     body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r, i: row_text(names, r, i + 1))
     columns = F.concat(F.lit("Table contains the following columns: "), F.array_join(names, ", "))

@@ -74,8 +74,8 @@ def fallback_sections(pages: DataFrame, key: str, page: str = "page", text: str
 def detect_tables(tables: DataFrame, key: str, page: str, table: str = "t", lines: str = "ruled") -> DataFrame:
     """Tables with the pass (1 to 3) that accepts them: later passes look only at pages where none before found anything,
     and the second one only at documents with a table of the first."""
-    valid = [B.is_valid(F.col(table), F.col(lines), n) for n in (1, 2, 3)]
-    scored = tables.select("*", *(v.alias(f"v{n}") for n, v in enumerate(valid, 1)))
+    valid = [B.is_valid(F.col("scores"), F.col(lines), n) for n in (1, 2, 3)]
+    scored = tables.withColumn("scores", B.scores(F.col(table))).select("*", *(v.alias(f"v{n}") for n, v in enumerate(valid, 1))).drop("scores")
     on_page, in_doc = Window.partitionBy(key, page), Window.partitionBy(key)
     scored = scored.withColumn("p1", F.max(F.col("v1").cast("int")).over(on_page)).withColumn("d1", F.max(F.col("v1").cast("int")).over(in_doc))
     second = (F.col("p1") == 0) & (F.col("d1") == 1) & F.col("v2")

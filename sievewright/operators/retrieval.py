@@ -16,16 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 
 #: Rows of a broadcast query set at most; above it, queries are joined by a shuffle on the filter column.
 BROADCAST_QUERIES = 10_000
 
 
-def let(value: Column, use) -> Column:
-    """use(value), the value being computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, d: s + d)
 
