@@ -234,12 +234,12 @@ def element_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table for each order: a header row, then a row for each line item."""
+    """A table for each order: a header row, then a row for each line item, in the order of numbers and cells."""
     row = F.array(
         F.col("l_linenumber").cast("string"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" mg")),
         F.when(F.col("l_discount") > 0.05, "").otherwise(F.concat(F.lit("cost "), F.col("l_returnflag"))), F.col("l_linestatus"),
     )
-    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.monotonically_increasing_id().alias("i"), row.alias("r")).alias("s"))
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), row.alias("r")).alias("s"))
     body = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["r"]).alias("body"))
     head = F.array(F.array(*(F.lit(v) for v in ("Line", "Dose", "Charge", "Status"))))
     return body.select("l_orderkey", F.concat(head, "body").alias("t"))
@@ -255,15 +255,46 @@ def table_structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_tables(spark, sf_dir).select("l_orderkey", B.structure_score(t).alias("structure"), r6(B.domain_score(t), "domain"))
 
 
-@query()
+def level_sql(n: int) -> str:
+    (a, b, _, d), least = B.LEVELS[n]
+    return f"structure * {a:e} + content * {b:e} + domain * {d:e} > {least:e} AS level{n}"
+
+
+def any_sql(column: str, patterns: tuple[str, ...], flags: str = "(?i)") -> str:
+    return f"regexp_matches({column}, '{flags}(?:{'|'.join(patterns)})')"
+
+
+#: The tables of orders with scores, passes and flags.
+TABLES_SQL = rf"""o AS (SELECT l_orderkey, l_linenumber AS n, [l_linenumber::VARCHAR, l_quantity::INTEGER || ' mg', CASE WHEN l_discount > 0.05::DOUBLE THEN '' ELSE 'cost ' || l_returnflag END, l_linestatus] AS r FROM lineitem),
+tables AS (SELECT l_orderkey, [['Line', 'Dose', 'Charge', 'Status']] || list(r ORDER BY n, r) AS t FROM o GROUP BY l_orderkey),
+cells AS (SELECT l_orderkey, t, array_to_string(flatten(t), ' ') AS text, list_filter(list_transform(flatten(t), lambda c: trim(c)), lambda c: c <> '') AS cs FROM tables),
+shares AS (SELECT *, lower(array_to_string(cs, ' ')) AS low, len(list_filter(cs, lambda c: {any_sql("c", ("^(?:" + "|".join(B.NUMERIC_LIKE) + ")$",), "")})) / len(cs) AS numeric,
+  len(list_filter(cs, lambda c: len(list_filter(regexp_split_to_array(c, '\s+'), lambda w: w <> '')) <= 5)) / len(cs) AS short FROM cells),
+marks AS (SELECT *, {any_sql("low", B.DOSAGE)} AS dosage, {any_sql("low", B.PRICING)} AS pricing, {any_sql("low", B.MEDICAL)} AS medical FROM shares),
+scores AS (SELECT *, CASE WHEN len(t) BETWEEN 3 AND 50 AND len(cs) / (len(t) * 4) BETWEEN 3e-1 AND 95e-2 THEN 1e0 ELSE 0e0 END AS structure,
+  CASE WHEN len(cs) < 6 THEN 0e0 ELSE least(1e0, CASE WHEN numeric > 3e-1 THEN 4e-1 WHEN numeric > 1e-1 THEN 2e-1 ELSE 0e0 END + CASE WHEN short > 7e-1 THEN 3e-1 WHEN short > 5e-1 THEN 15e-2 ELSE 0e0 END
+    + CASE WHEN {any_sql("array_to_string(cs[:20], ' ')", B.TABLE_LIKE, "")} THEN 3e-1 ELSE 0e0 END) END AS content,
+  least(1e0, dosage::INT * 4e-1 + pricing::INT * 4e-1 + medical::INT * 2e-1 + (dosage AND pricing)::INT * 2e-1) AS domain FROM marks),
+scored AS (SELECT *, {level_sql(1)}, {level_sql(2)}, {level_sql(3)}, regexp_matches(text, '(?i)\d+\s*(?:mg|μg|ml)') AS contains_dosage, regexp_matches(text, '(?i)[€$]\s*\d+|cost|price') AS contains_pricing,
+  regexp_matches(text, '(?i)sorafenib|lenvatinib|treatment|therapy') AS contains_medication,
+  CASE WHEN regexp_matches(lower(text), 'cost|price|€|\$') THEN 'pricing' WHEN regexp_matches(lower(text), '\d+\s*(?:mg|μg|ml)') THEN 'dosage' WHEN regexp_matches(lower(text), 'patient|study|trial') THEN 'clinical_data'
+    WHEN regexp_matches(lower(text), 'treatment|therapy|medicinal') THEN 'treatment_info' ELSE 'general' END AS kind FROM scores)"""
+
+
+@query(f"""WITH {TABLES_SQL} SELECT l_orderkey, round(content, 6) AS content, (CASE WHEN level1 THEN 1 WHEN level2 THEN 2 WHEN level3 THEN 3 ELSE 0 END)::INTEGER AS level,
+  contains_dosage, contains_pricing, contains_medication, kind FROM scored""")
 def table_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scores, the pass that accepts a table, and its flags and class."""
-    t, text = F.col("t"), F.array_join(F.flatten("t"), " ")
-    level = F.coalesce(*(F.when(B.is_valid(t, F.lit(0.0), n), n) for n in (1, 2, 3)), F.lit(0))
-    return order_tables(spark, sf_dir).select("l_orderkey", r6(B.content_score(t), "content"), level.alias("level"), *B.flags(text), B.content_class(text).alias("kind"))
+    text, s = F.array_join(F.flatten("t"), " "), F.col("s")
+    level = F.coalesce(*(F.when(B.is_valid(s, F.lit(0.0), n), n) for n in (1, 2, 3)), F.lit(0))
+    scored = order_tables(spark, sf_dir).select("l_orderkey", text.alias("text"), B.scores(F.col("t")).alias("s"))
+    return scored.select("l_orderkey", r6("s.content", "content"), level.alias("level"), *B.flags(F.col("text")), B.content_class(F.col("text")).alias("kind"))
 
 
-@query()
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber AS n, [l_linenumber::VARCHAR, l_quantity::INTEGER || ' mg', CASE WHEN l_discount > 0.05::DOUBLE THEN '' ELSE 'cost ' || l_returnflag END, l_linestatus] AS r FROM lineitem),
+p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, r) AS i, list_filter(['Line: ' || r[1], 'Dose: ' || r[2], CASE WHEN r[3] <> '' THEN 'Charge: ' || r[3] END, 'Status: ' || r[4]], lambda x: x IS NOT NULL) AS ps FROM o)
+SELECT l_orderkey, 'Table Title: Order' || chr(10) || chr(10) || 'Table contains the following columns: Line, Dose, Charge, Status' || chr(10)
+  || string_agg('Row ' || i || ': ' || array_to_string(ps[:-2], ', ') || ', and ' || ps[-1], chr(10) ORDER BY i) AS text FROM p GROUP BY l_orderkey""")
 def table_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_tables(spark, sf_dir).select("l_orderkey", B.narrative(F.col("t"), F.lit("Order")).alias("text"))
 
@@ -311,7 +342,10 @@ def grid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.grid_pages(rows, ["page"]).select("page", "n", r6("crossing", "crossing"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT l_orderkey AS page, l_returnflag AS text, l_quantity AS y, l_extendedprice AS x0, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice, l_returnflag) AS i FROM lineitem),
+f AS (SELECT page, i, 1 AS line_no, y AS top FROM w WHERE i = 1 UNION ALL
+  SELECT w.page, w.i, CASE WHEN y - top <= 3 THEN line_no ELSE line_no + 1 END, CASE WHEN y - top <= 3 THEN top ELSE y END FROM f JOIN w ON w.page = f.page AND w.i = f.i + 1)
+SELECT page, line_no::INTEGER AS line_no, top, string_agg(text, ' ' ORDER BY x0, text) AS text FROM f JOIN w USING (page, i) GROUP BY page, line_no, top""")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a page, one an event, joined to lines."""
     words = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("text"), F.col("l_quantity").alias("top"), F.col("l_extendedprice").alias("x0"))

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import statistics as S
 from ..sources import providers
-from .analytics import order_tables, r6
+from .analytics import TABLES_SQL, order_tables, r6
 from .registry import load, query
 
 
@@ -47,13 +47,25 @@ def headings_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("conv_id", "turn").agg(F.bool_or("is_heading").alias("is_heading"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\n\x0b\f\r')), lambda x: x <> '')[:5] AS ls FROM conversations),
+p AS (SELECT conv_id, turn, text, list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) <= 7
+  AND ((upper(x) = x AND lower(x) <> x) OR (regexp_matches(x[:3], '\d') AND NOT starts_with(lower(x), 'page'))))[1] AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM l),
+f AS (SELECT conv_id, i, 1 AS section, 1 AS n FROM p WHERE i = 1 UNION ALL
+  SELECT p.conv_id, p.i, CASE WHEN h IS NOT NULL OR n >= 5 THEN section + 1 ELSE section END, CASE WHEN h IS NOT NULL OR n >= 5 THEN 1 ELSE n + 1 END FROM f JOIN p ON p.conv_id = f.conv_id AND p.i = f.i + 1)
+SELECT conv_id, section::INTEGER AS section, coalesce(max(h), '') AS heading, string_agg(text, chr(10) ORDER BY i) AS text, min(turn) AS start_page, max(turn) AS end_page FROM f JOIN p USING (conv_id, i) GROUP BY conv_id, section""")
 def fallback_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the pages of a conversation."""
     return D.fallback_sections(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query()
+@query(f"""WITH {TABLES_SQL}, k AS (SELECT *, l_orderkey // 100 AS doc, l_orderkey // 10 AS page, level1 AS v1 FROM scored),
+a AS (SELECT *, bool_or(v1) OVER (PARTITION BY doc, page) AS p1, bool_or(v1) OVER (PARTITION BY doc) AS d1 FROM k),
+b AS (SELECT *, NOT p1 AND d1 AND level2 AS v2 FROM a), c AS (SELECT *, bool_or(v2) OVER (PARTITION BY doc, page) AS p2 FROM b),
+q AS (SELECT *, CASE WHEN v1 THEN 1 WHEN v2 THEN 2 WHEN NOT p1 AND NOT p2 AND level3 THEN 3 END AS pass FROM c),
+n AS (SELECT doc, page, count(*) AS n, count(*) FILTER (contains_pricing) AS a, count(*) FILTER (contains_dosage) AS b, count(*) FILTER (contains_medication) AS c,
+  count(*) FILTER (pass = 1) AS p1, count(*) FILTER (pass = 2) AS p2, count(*) FILTER (pass = 3) AS p3 FROM q WHERE pass IS NOT NULL GROUP BY doc, page)
+SELECT doc, sum(n)::BIGINT AS tables, sum(a)::BIGINT AS contains_pricing, sum(b)::BIGINT AS contains_dosage, sum(c)::BIGINT AS contains_medication, sum(p1)::BIGINT AS pass_1, sum(p2)::BIGINT AS pass_2, sum(p3)::BIGINT AS pass_3,
+  '{{' || string_agg('"' || page || '":' || n, ',' ORDER BY page) || '}}' AS by_page FROM n GROUP BY doc""")
 def table_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of orders, ten to a page and a hundred to a document, through the three passes, summed up by document."""
     tables = order_tables(spark, sf_dir).select(
@@ -72,7 +84,13 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.semantic_chunks(rows, ["conv_id"], "at", "text", "embedding", 200)
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, greatest(1, length(text) // 4) AS tokens,
+  list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS place, 0::BIGINT AS tokens, 0::BIGINT AS total, []::VARCHAR[] AS covered, false AS taken FROM t UNION ALL
+  SELECT conv_id, place, tokens, CASE WHEN taken THEN total + tokens ELSE total END, CASE WHEN taken THEN list_distinct(covered || ws) ELSE covered END, taken FROM (
+    SELECT t.conv_id, t.place, t.tokens, total, covered, ws, total + t.tokens <= 100 OR (total + t.tokens <= 100 * 11e-1 AND len(list_filter(ws, lambda w: NOT list_contains(covered, w))) > 0) AS taken
+    FROM f JOIN t ON t.conv_id = f.conv_id AND t.place = f.place + 1 WHERE t.place <= 40))
+SELECT conv_id, place::INTEGER AS place, tokens::INTEGER AS tokens FROM f WHERE taken""")
 def coverage_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that add words, within 100 tokens, and a tenth more for those that do."""
     turns = load(spark, sf_dir, "conversations").withColumn("words", T.token_set(F.col("text")))

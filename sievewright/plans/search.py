@@ -118,15 +118,29 @@ def country_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).where("country is not null and country not in ('', 'unknown')").select("country").distinct()
 
 
-@query()
-def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each country's first 140 passages those that none before resembles."""
-    return R.greedy_unique(chunks(spark, sf_dir), ["country"], ["doc_id"], "doc_id", 140)
+def best_passages(spark: SparkSession, sf_dir: str, final_k: int) -> DataFrame:
+    """The passages that a ranking puts first in each country, with their places; texts are joined to the ranked keys."""
+    best = ranked(spark, sf_dir, SUBMISSION_POPULATION, "hta_submission", final_k).select("country", "doc_id", "place")
+    return best.join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 SETS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower(trim({c}, E' \\t\\n\\r')), '\\s+'), lambda x: x <> '')))"
 
 
+@query(f"""WITH RECURSIVE ranked AS ({ranking_sql(SUBMISSION_POPULATION, "hta_submission", 70)}),
+x AS (SELECT r.country, r.place, r.doc_id, d.text, {SETS.format(c="d.text")} AS ws FROM ranked r JOIN documents d USING (doc_id)),
+i AS (SELECT b.country, b.place, a.place AS before, a.text = b.text AS same, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) AS na, len(b.ws) AS nb FROM x a JOIN x b ON a.country = b.country AND a.place < b.place),
+p AS (SELECT x.country, x.place, x.doc_id, coalesce(list(before) FILTER (same), []) AS equals, coalesce(list(before) FILTER (n > (na + nb - n) * 7e-1 OR n > na * 9e-1 OR n > nb * 9e-1), []) AS likes
+  FROM x LEFT JOIN i ON x.country = i.country AND x.place = i.place GROUP BY ALL),
+f AS (SELECT DISTINCT country, 0::BIGINT AS place, NULL::BIGINT AS doc_id, NULL::VARCHAR AS reason, []::BIGINT[] AS kept FROM p UNION ALL
+  SELECT country, place, doc_id, reason, CASE WHEN reason IS NULL THEN kept || [place] ELSE kept END FROM (
+    SELECT p.country, p.place, p.doc_id, kept, CASE WHEN list_has_any(equals, kept) THEN 'duplicate' WHEN list_has_any(likes, kept) THEN 'similar' END AS reason FROM f JOIN p ON p.country = f.country AND p.place = f.place + 1))
+SELECT country, doc_id, reason IS NULL AS kept, reason FROM f WHERE place > 0""")
+def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the 140 passages that rank first in each country those that none before resembles."""
+    return R.greedy_unique(best_passages(spark, sf_dir, 70), ["country"], ["place"], "doc_id", 140)
+
+
 @query(f"""WITH s AS (SELECT doc_id, lang, {SETS.format(c="text")} AS ws FROM documents)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws)), 6) AS similarity
 FROM s a JOIN s b ON a.doc_id < b.doc_id AND a.lang = b.lang
@@ -150,18 +164,37 @@ def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("share", 6).alias("share"))
 
 
-@query()
+def listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+EDGE = r"[.,;:()\[\]{}]"
+TERMS = rf"""list_sort(list_distinct(list_filter(list_filter(list_transform(
+    list_filter(list_zip(['.'] || ws[:-2], ws), lambda p: regexp_matches(p[1], '[.!?]$') AND regexp_matches(p[2], '^{EDGE}*\p{{Lu}}')),
+    lambda p: regexp_replace(p[2], '^{EDGE}+|{EDGE}+$', '', 'g')), lambda x: length(x) > 1 AND lower(x) NOT IN ({listed(T.COMPARATOR_STOP_WORDS)}))
+  || regexp_extract_all(text, '{T.DOSAGE}') || regexp_extract_all(lower(text), '{T.DRUG_SUFFIX}'), lambda x: lower(x) NOT IN ({listed(T.COMPARATOR_COMMON_WORDS)}))))"""
+WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, {WORDS} AS ws FROM documents), t AS (SELECT doc_id, {TERMS} AS terms FROM w)
+SELECT doc_id, len(terms)::INTEGER AS n_terms, array_to_string(terms, '|') AS terms FROM t""")
 def comparator_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir).select("doc_id", T.comparator_terms(F.col("text")).alias("terms"))
     return rows.select("doc_id", F.size("terms").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
 
 
-@query()
+@query(f"""WITH RECURSIVE ranked AS ({ranking_sql(SUBMISSION_POPULATION, "hta_submission", 30)}),
+w AS (SELECT r.country, r.place, r.doc_id, d.text, {WORDS.replace("text", "d.text")} AS ws FROM ranked r JOIN documents d USING (doc_id)), x AS (SELECT country, place, doc_id, {TERMS} AS terms FROM w),
+g AS (SELECT DISTINCT country, 0 AS pick, NULL::BIGINT AS doc_id, 0::BIGINT AS n_new, []::VARCHAR[] AS covered, []::BIGINT[] AS chosen FROM x UNION ALL
+  SELECT country, pick + 1, b.doc_id, b.n, covered || b.terms, chosen || [b.place] FROM (
+    SELECT country, pick, any_value(covered) AS covered, any_value(chosen) AS chosen, max({{'n': n, 'back': -place, 'place': place, 'doc_id': doc_id, 'terms': terms}}) AS b FROM (
+      SELECT g.country, g.pick, covered, chosen, x.place, x.doc_id, terms, len(list_filter(terms, lambda t: NOT list_contains(covered, t))) AS n FROM g JOIN x ON x.country = g.country AND NOT list_contains(chosen, x.place) WHERE g.pick < 10)
+    GROUP BY country, pick))
+SELECT country, doc_id, pick::INTEGER AS pick, n_new::INTEGER AS n_new FROM g WHERE pick > 0""")
 def coverage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten passages of each country that cover most comparator terms of its first sixty."""
-    rows = R.top_k(chunks(spark, sf_dir), F.col("doc_id"), 60, ["country"], "doc_id")
-    rows = rows.select("country", "doc_id", T.comparator_terms(F.col("text")).alias("terms"))
-    return R.coverage_select(rows, ["country"], ["doc_id"], "doc_id", "terms", 10, 60)
+    """Ten passages of each country that cover most comparator terms of the sixty that rank first."""
+    rows = best_passages(spark, sf_dir, 30).select("country", "doc_id", "place", T.comparator_terms(F.col("text")).alias("terms"))
+    return R.coverage_select(rows, ["country"], ["place"], "doc_id", "terms", 10, 60)
 
 
 @query(f"""WITH {CHUNKS} SELECT doc_id, country, source_type, length(text) AS text_length, heading FROM chunks

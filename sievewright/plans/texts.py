@@ -157,13 +157,32 @@ def split_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_oversize(docs, "text", 1500, "doc_id").select("doc_id", "split_index", "text", "oversized_split")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, text, length(text) AS n FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, []::STRUCT(t VARCHAR, merged BOOLEAN)[] AS done, NULL::VARCHAR AS wait FROM t UNION ALL
+  SELECT conv_id, i, CASE WHEN wait IS NOT NULL THEN done || [{'t': wait || chr(10) || chr(10) || text, 'merged': true}] WHEN small AND fits THEN done[:-2] || [{'t': done[-1].t || chr(10) || chr(10) || text, 'merged': true}]
+    WHEN small THEN done ELSE done || [{'t': text, 'merged': false}] END, CASE WHEN wait IS NULL AND small AND NOT fits THEN text END FROM (
+    SELECT t.conv_id, t.i, t.text, done, wait, n < 100 AS small, len(done) > 0 AND coalesce(length(done[-1].t) + n <= 1500, false) AS fits FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)),
+e AS (SELECT conv_id, CASE WHEN wait IS NULL THEN done ELSE done || [{'t': wait, 'merged': false}] END AS done FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+u AS (SELECT conv_id, unnest(range(1, len(done) + 1)) AS chunk, unnest(done) AS c FROM e) SELECT conv_id, chunk::INTEGER AS chunk, c.t AS text, c.merged AS merged FROM u""")
 def merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation merged to chunks of 100 to 1500 characters."""
     return S.merge_small(load(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text", 100, 1500)
 
 
-@query()
+PAIR_FOLD = """f{n} AS (SELECT doc_id, i, false AS merged FROM p{n} WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, NOT merged AND fits FROM f{n} f JOIN p{n} p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+m{n} AS (SELECT doc_id, i - merged::INT AS k, CASE WHEN count(*) = 2 THEN {joined} ELSE any_value(t) END AS t FROM f{n} JOIN p{n} USING (doc_id, i) GROUP BY doc_id, k)"""
+BLANKS = r"E' \t\n\x0b\f\r'"
+HYPHENS = PAIR_FOLD.format(n=1, joined="regexp_replace(arg_min(t, i), '-$', '') || ltrim(arg_max(t, i))")
+PARAGRAPHS = PAIR_FOLD.format(n=2, joined=f"trim(arg_min(t, i), {BLANKS}) || ' ' || trim(arg_max(t, i), {BLANKS})")
+
+
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS t FROM (SELECT doc_id, string_split(replace(text, '. ', '-' || chr(10)), chr(10)) AS ls FROM documents)),
+b1 AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l),
+p1 AS (SELECT doc_id, i, t, coalesce(regexp_matches(before, '-$') AND (regexp_matches(t, '^\p{{Ll}}') OR NOT regexp_matches(t, '^[A-Z\d(\[{{]')), false) AS fits FROM b1),
+{HYPHENS}, q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, t FROM m1), b2 AS (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM q),
+p2 AS (SELECT doc_id, i, t, coalesce(NOT regexp_matches(before, '[.!?:;]') AND regexp_matches(t, '^\p{{Ll}}') AND NOT regexp_matches(t, '^\d+[.)]\s') AND NOT regexp_matches(t, '^[•\-*]')
+  AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) > 1, false) AS fits FROM b2),
+{PARAGRAPHS} SELECT doc_id, n_lines, text FROM (SELECT doc_id, count(*)::INTEGER AS n_lines FROM q GROUP BY doc_id) JOIN (SELECT doc_id, string_agg(t, chr(10) ORDER BY k) AS text FROM m2 GROUP BY doc_id) USING (doc_id)""")
 def merge_hyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines joined over hyphens, then paragraphs joined over line ends."""
     lines = F.split(F.replace("text", F.lit(". "), F.lit("-\n")), "\n")
