@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import statistics as S
 from ..sources import providers
-from .analytics import TABLES_SQL, order_tables, r6
+from .analytics import T_VALUES, TABLES_SQL, order_tables, r6
 from .registry import load, query
 
 
@@ -136,7 +136,18 @@ def macro_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(r6(F.avg("ai"), "ai"), r6(F.avg("human"), "human"), r6(F.avg(F.col("ai") - F.col("human")), "difference"), F.sum("n").alias("n"))
 
 
-@query()
+@query(f"""WITH t(df, q) AS (VALUES {T_VALUES}), m AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY event_type),
+s AS (SELECT count(*) AS n, avg(mean) AS mean, coalesce(stddev_samp(mean), 0) AS sd, quantile_cont(mean, 0.25) AS q1, quantile_cont(mean, 0.5) AS median, quantile_cont(mean, 0.75) AS q3, min(mean) AS lo, max(mean) AS hi,
+  arg_min(event_type, (-mean, event_type)) AS best, arg_min(event_type, (mean, event_type)) AS worst FROM m),
+x AS (SELECT user_id, event_type, avg(value) AS x FROM events GROUP BY ALL), g AS (SELECT count(*) AS c, var_pop(x) AS v FROM x),
+r AS (SELECT var_pop(m) AS vr, count(*) AS nr FROM (SELECT avg(x) AS m FROM x GROUP BY user_id)), k AS (SELECT var_pop(m) AS vc, count(*) AS k FROM (SELECT avg(x) AS m FROM x GROUP BY event_type)),
+p AS (SELECT nr, k, vr * nr * k / (nr - 1) AS msr, vc * nr * k / (k - 1) AS msc, (v * c - vr * nr * k - vc * nr * k) / ((nr - 1) * (k - 1)) AS mse FROM g, r, k),
+i AS (SELECT greatest(0, least(1, (msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / nr))) AS icc FROM p),
+w AS (SELECT *, CASE WHEN n >= 2 AND mean <> 0 THEN sd / mean * 100 ELSE 0 END AS cv, CASE WHEN n >= 2 THEN coalesce(q, 1.959964) * sd / sqrt(n) END AS half FROM s LEFT JOIN t ON df = n - 1)
+SELECT n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(cv, 6) AS cv, round(cv / sqrt(n), 6) AS rse, round(coalesce(mean - half, 0), 5) AS ci_low, round(coalesce(mean + half, 0), 5) AS ci_high,
+  round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(lo, 6) AS min, round(hi, 6) AS max, best, worst, round(CASE WHEN mean = 0 THEN 0 ELSE (hi - lo) / mean * 100 END, 6) AS sensitivity, round(icc, 6) AS icc_agreement_single,
+  CASE WHEN icc > 0.75 THEN 'Excellent' WHEN icc > 0.6 THEN 'Good' WHEN icc > 0.4 THEN 'Fair' ELSE 'Poor' END AS icc_grade,
+  CASE WHEN cv < 3 THEN 'Excellent' WHEN cv < 5 THEN 'Very Good' WHEN cv < 10 THEN 'Good' WHEN cv < 15 THEN 'Fair' ELSE 'Poor' END AS cv_grade FROM w, i""")
 def reliability_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread, range, correlation, best and worst scenario in one row: user_id is the item, event_type the scenario."""
     events = load(spark, sf_dir, "events").select("user_id", "event_type", "value")
@@ -145,7 +156,9 @@ def reliability_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = S.best_and_worst(events.withColumn("all", F.lit(1)), ["all"], "event_type", "value").select("all", "best", "worst", "sensitivity")
     icc = S.icc_agreement(events, "user_id", "event_type", "value").select(F.lit(1).alias("all"), "icc_agreement_single")
     out = spread.join(best, "all").join(icc, "all").drop("all")
-    return out.withColumn("icc_grade", S.interpret_icc(F.col("icc_agreement_single"))).withColumn("cv_grade", S.interpret_cv(F.col("cv")))
+    graded = out.withColumn("icc_grade", S.interpret_icc(F.col("icc_agreement_single"))).withColumn("cv_grade", S.interpret_cv(F.col("cv")))
+    figures = ("mean", "sd", "cv", "rse", "q1", "median", "q3", "min", "max", "sensitivity", "icc_agreement_single")
+    return graded.withColumns({c: F.round(c, 6) for c in figures} | {c: F.round(c, 5) for c in ("ci_low", "ci_high")})
 
 
 @query("""SELECT count(*) AS rows_, count(DISTINCT lang) AS countries, count(DISTINCT source) AS sources, array_to_string(list_sort(list_distinct(list(lang))), ',') AS names FROM documents""")
