@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -149,6 +151,42 @@ class WordHashes(dict):
 
 _HASHES = WordHashes()
 
+#: Functions that forget what a worker remembers between tasks.
+REMEMBERED: list[Callable[[], None]] = [_HASHES.clear]
+_OWNER: list[str] = []
+
+
+def give_back() -> None:
+    """Hand the memory that a worker has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def take_over(owner: str) -> None:
+    """Forget what a worker remembers of another operator's tasks: workers live on from one stage to the next."""
+    if _OWNER != [owner]:
+        for forget in REMEMBERED:
+            forget()
+        _OWNER[:] = [owner]
+        gc.collect()
+        give_back()
+
+
+def in_worker(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None) -> Callable:
+    """run for mapInArrow; a worker remembers things for one operator only, and keeps no freed memory after a task."""
+    owner = owner or f"{run.__module__}.{run.__qualname__}"
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
@@ -249,6 +287,7 @@ def map_rows(
 
     small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    owner = f"{make.__module__}.{make.__qualname__}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -257,7 +296,7 @@ def map_rows(
                 out = step({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(in_worker(run, owner), schema)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_number, write_table
+from .common import in_worker, small_batches, whole_number, write_table
 from .token_ids import encoder
 
 SEQUENCE = 2048
@@ -130,7 +130,7 @@ def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int, key: str, text:
                 ["part", "doc_id", "source", "n", "before", "ids"],
             )
 
-    return write_table(rows.mapInArrow(run, "part long, doc_id long, source string, n long, before long, ids binary"), "packing")
+    return write_table(rows.mapInArrow(in_worker(run), "part long, doc_id long, source string, n long, before long, ids binary"), "packing")
 
 
 def pack(
@@ -182,4 +182,4 @@ def pack(
     sums = by_part.select(F.col("source").alias("s"), F.col("part").alias("p"), "earlier")
     joined = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["part"] == sums["p"]))
     placed = joined.select("doc_id", "source", "n", (F.col("before") + F.col("earlier")).alias("at"), "ids")
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(in_worker(run), schema)

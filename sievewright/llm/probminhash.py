@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NUMBERS_PER_BATCH, gram_hashes, hashed_words, map_rows, mix, small_batches, split_at, text_bytes, text_groups, whole_number, word_digest, write_table
+from .common import NUMBERS_PER_BATCH, gram_hashes, hashed_words, in_worker, map_rows, mix, small_batches, split_at, text_bytes, text_groups, whole_number, word_digest, write_table
 from .components import components
 
 SHINGLE = 5
@@ -106,17 +106,18 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def make():
         def step(batch: dict[str, list]) -> dict[str, list]:
-            digests, sets, at = [], [], []
+            digests: list[bytes] = []
+            bands: list[list[int]] = [[] for _ in batch["text"]]
             for i, j in text_groups(batch["text"]):
                 h, counts = hashed_words(batch["text"][i:j])
+                sets, at = [], []
                 for k, own in enumerate(split_at(h, counts), i):
                     digests.append(word_digest(own, batch["text"][k]))
                     if len(own) >= SHINGLE:
                         at.append(k)
                         sets.append(np.unique(gram_hashes(own, SHINGLE), return_counts=True))
-            bands: list[list[int]] = [[] for _ in digests]
-            for i, keys in zip(at, band_keys(signatures(sets)).tolist() if sets else [], strict=True):
-                bands[i] = keys
+                for k, keys in zip(at, band_keys(signatures(sets)).tolist() if sets else [], strict=True):
+                    bands[k] = keys
             return {"key": batch["key"], "digest": digests, "bands": bands}
 
         return step
@@ -254,7 +255,7 @@ def mixed_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, thresho
                 u, v = [], []
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(in_worker(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     banded = banded.select("key", F.col("z.bands").alias("bucket"), F.col("z.after").alias("after"))
     # by range, so that a bucket of many texts is spread over several tasks
     banded = banded.repartitionByRange("bucket", "after", "key").sortWithinPartitions("bucket", "after", "key")
-    buckets = write_table(banded.select("bucket", "key").mapInArrow(neighbours, "bucket long, key long, p0 long, p1 long, p2 long"), "buckets", batch=NUMBERS_PER_BATCH)
+    buckets = write_table(banded.select("bucket", "key").mapInArrow(in_worker(neighbours), "bucket long, key long, p0 long, p1 long, p2 long"), "buckets", batch=NUMBERS_PER_BATCH)
     involved = buckets.select("key").distinct()
     texts = text_bytes(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))).where("key is not null")
     texts = write_table(only(texts, involved), "texts")

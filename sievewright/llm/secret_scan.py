@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import REMEMBERED, map_rows
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -52,6 +52,9 @@ def vocabulary(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+REMEMBERED.append(vocabulary.cache_clear)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, kinds as places in KINDS, in order."""
     found = []

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, small_batches, whole_number, write_table
+from .common import filesystem, fresh_path, in_worker, small_batches, whole_number, write_table
 from .token_ids import encoder
 
 BLOCK_BYTES = 64 << 10
@@ -220,7 +220,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = 2, key: st
                 {"shard": pa.array([shard], pa.int64()), "path": [f"{folder}/{name}"], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())}
             )
 
-    return write_table(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "sstable-manifest")
+    return write_table(rows.mapInArrow(in_worker(run), "shard long, path string, n_docs long, n_ids long"), "sstable-manifest")
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
@@ -257,4 +257,4 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[: len(names)], kinds, strict=False)], names)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(in_worker(run), schema)

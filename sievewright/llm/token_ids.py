@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import one_thread
+from .common import REMEMBERED, one_thread
 
 #: Segments remembered by a worker in each of two generations.
 MEMO = 300_000
@@ -147,3 +147,6 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+REMEMBERED.append(encoder.cache_clear)
