@@ -15,6 +15,19 @@ from sievewright.llm import queries as Q
 
 from .test_llm_operators import labelled, insult, odd_documents, payload, text
 
+# --- workers --------------------------------------------------------------------------------------------------------------
+
+
+def test_workers_remember_for_one_operator_only(monkeypatch):
+    gone = []
+    monkeypatch.setattr(common, "REMEMBERED", [lambda: gone.append(1)])
+    monkeypatch.setattr(common, "_OWNER", [])
+    one, other = (common.in_worker(lambda batches: iter(batches), name) for name in ("one", "other"))
+    assert list(one([1, 2])) == [1, 2] and list(one([])) == [] and len(gone) == 1
+    assert list(other([3])) == [3] and len(gone) == 2
+    assert list(one([4])) == [4] and len(gone) == 3
+
+
 # --- words ------------------------------------------------------------------------------------------------------------
 
 
