@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
+from . import decontamination, flac, lexical, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
 from .common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -105,11 +105,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("glob")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_packing, op3_quality, op4_flac, op5_secrets,
         op6_decontamination, op7_sstable, op8_passages, op9_near_duplicates, op10_urls,
+        op11_search,
     )
 }
 
@@ -117,6 +123,9 @@ RULE_VALUES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_
 #: The blocking globs as regular expressions over "." + host + path.
 GLOB_REGEX = r"^(.*/ads/.*|.*/login/.*|.*/cgi-bin/.*|.*\.exe|.*\.zip|.*\.swf)$"
 
+#: Terms of a text: runs of ASCII letters, digits and all other non-ASCII characters, A-Z in lower case.
+TERMS = rf"regexp_extract_all(translate(text, '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op10_urls": f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -128,4 +137,15 @@ m AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length
 SELECT p.page_id, host, path, rule,
   coalesce(verdict, CASE WHEN regexp_matches('.' || host || path, '{GLOB_REGEX}', 's') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m USING (page_id)""",
+    "op11_search": f"""
+WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+g AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS size FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, g GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total) // size))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN c USING (term) JOIN d USING (doc_id), g GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= {lexical.K}""",
 }
