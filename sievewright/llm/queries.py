@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, flac, lexical, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
+from . import alignment, decontamination, flac, lexical, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
 from .common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 URL_RULES = (
@@ -110,12 +111,20 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between the ids of two tokenizers, and how common its links are in the corpus."""
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    written = alignment.write_aligned(found.select("doc_id", "n_a", "n_b", "n_groups", digest, "pairs", "times"))
+    return alignment.weighed(written)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_packing, op3_quality, op4_flac, op5_secrets,
         op6_decontamination, op7_sstable, op8_passages, op9_near_duplicates, op10_urls,
-        op11_search,
+        op11_search, op13_alignment,
     )
 }
 
