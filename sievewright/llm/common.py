@@ -207,10 +207,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_HASHES = mix(np.arange(1, 257, dtype=np.uint64) * ROLL)
 
 
-def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes | None], letters: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, one text after the other, and how many words each text has. The sum of a word's
-    bytes' numbers times powers of ROLL, so that all bytes are worked on at once."""
-    raw = np.frombuffer(b" ".join([t or b"" for t in texts]).translate(WORD_BYTES) + b" ", np.uint8)
+    bytes' numbers times powers of ROLL, so that all bytes are worked on at once. letters: what each byte becomes, a space
+    between words."""
+    raw = np.frombuffer(b" ".join([t or b"" for t in texts]).translate(letters) + b" ", np.uint8)
     inside = raw != 32
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     edges = np.r_[0, edges] if len(raw) and inside[0] else edges

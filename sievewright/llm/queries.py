@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, flac, lexical, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
+from . import alignment, decontamination, flac, lexical, ngrams, packing, passages, probminhash, quality, secret_scan, sstable, toxicity, urlfilter
 from .common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -111,6 +111,11 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of those that are not held out."""
+    return ngrams.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's groups and links between the ids of two tokenizers, and how common its links are in the corpus."""
     found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL))
@@ -124,7 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_packing, op3_quality, op4_flac, op5_secrets,
         op6_decontamination, op7_sstable, op8_passages, op9_near_duplicates, op10_urls,
-        op11_search, op13_alignment,
+        op11_search, op12_scores, op13_alignment,
     )
 }
 

@@ -4,13 +4,14 @@ import collections
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm import alignment, lexical
+from sievewright.llm import alignment, lexical, ngrams
 from sievewright.llm import queries as Q
 from sievewright.llm.common import words
 
@@ -135,3 +136,85 @@ def test_alignment_of_odd_rows(spark):
     assert len(rows) == 9 and sum(r.doc_id is None for r in rows) == 1
     assert {r.doc_id for r in rows if not r.n_groups} == {2, 3}
     assert alignment.weighed(alignment.write_aligned(alignment.align(empty(spark), A, B))).collect() == []
+
+
+# --- language model ---------------------------------------------------------------------------------------------------
+
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def token_list(t):
+    return [*(t or "").encode().translate(ngrams.TOKEN_BYTES).split(b" "), None] if t else [None]
+
+
+def brute_scores(docs):
+    """(id, held, n, known, N, base, score) with exact bigram counts in place of the filter's."""
+    lists = [(i, [w for w in token_list(t) if w != b""]) for i, t in docs]
+    train = [ws for i, ws in lists if not held(i)]
+    counts = collections.Counter(w for ws in train for w in ws)
+    grams = collections.Counter(p for ws in train for p in zip(["<"] + ws[:-1], ws, strict=True))
+    n, v = sum(counts.values()), len(counts)
+    counts["<"] = len(train)
+    middle = ngrams.level_counts()
+    out = []
+    for i, ws in lists:
+        own = [(counts[w] + 1) / (n + v + 1) for w in ws]
+        score = 0.0
+        for before, w, p in zip(["<"] + ws[:-1], ws, own, strict=True):
+            c = grams[(before, w)]
+            c = min(middle[int(math.log2(c)) + 1] if c else 0, counts[before], counts[w])
+            score += math.log10((c + ngrams.MASS * p) / (counts[before] + ngrams.MASS))
+        out.append((i, held(i), len(ws), sum(counts[w] > 0 for w in ws), n, sum(map(math.log10, own)), score))
+    return out
+
+
+def lm_docs():
+    r = random.Random(8)
+    docs = [(i, text(r.randint(0, 80), i, FEW[: r.randint(3, 60)])) for i in range(200)]
+    return docs + [(300, None), (301, ""), (302, " \t\n"), (303, "Ünï Ünï T1. \x0b t1. \x1c x"), (303, "t1 t2"), (None, "t1 t2 t3"), (304, text(4000, 3))]
+
+
+@pytest.mark.parametrize("broadcast, part", [(1 << 27, 1 << 20), (0, 500)])
+def test_scores_equal_exact_counts_but_for_false_positives(spark, monkeypatch, broadcast, part):
+    monkeypatch.setattr(ngrams.part_bits, "__defaults__", (part,))
+    docs = lm_docs()
+    got = ngrams.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), broadcast_bytes=broadcast).collect()
+    order = lambda x: (x[0] is None, x[0] or 0, x[2])
+    got, want = sorted(map(tuple, got), key=order), sorted(brute_scores(docs), key=order)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5] for g in got], [w[5] for w in want])
+    off = np.array([g[6] - w[6] for g, w in zip(got, want, strict=True)])
+    assert (off > -1e-6).all() and off.sum() < 0.01 * -sum(w[6] for w in want)
+    assert sum(g[6] for g in got if g[1]) > sum(g[5] for g in got if g[1])
+
+
+def test_both_ways_to_probe_give_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(ngrams.part_bits, "__defaults__", (500,))
+    docs = spark.createDataFrame(lm_docs(), "doc_id long, text string")
+    one, other = (sorted(map(repr, ngrams.score_texts(docs.repartition(p), broadcast_bytes=b).collect())) for p, b in ((2, 1 << 27), (5, 0)))
+    strip = lambda rows: [r[: r.rindex("base_score")] for r in rows]
+    assert strip(one) == strip(other)
+    numbers = lambda rows: [float(r[r.rindex("=") + 1 : -1]) for r in rows]
+    assert np.allclose(numbers(one), numbers(other))
+
+
+def test_filter_never_forgets_and_seldom_invents():
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 1 << 40, 20_000).astype(np.uint64))
+    q = r.integers(1, 6, len(keys))
+    bits = ngrams.filled(keys, q)
+    found = ngrams.probed(keys, bits)
+    assert (found >= q).all() and (found > q).mean() < 0.01
+    assert (ngrams.probed(r.integers(1 << 40, 1 << 41, 50_000).astype(np.uint64), bits) > 0).mean() < 0.006
+
+
+def test_scores_of_odd_rows(spark):
+    docs = odd_documents(spark).withColumn("Score", F.col("n_chars")).withColumnRenamed("key", "held_out")
+    rows = ngrams.score_texts(docs).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 5, 5, 6, 7] and {r.n_tokens for r in rows if r.doc_id in (2, 3)} == {1}
+    assert ngrams.score_texts(empty(spark)).collect() == []
+    lone = next(i for i in range(100) if held(i))
+    (row,) = ngrams.score_texts(spark.createDataFrame([(lone, "a b")], "doc_id long, text string")).collect()
+    assert (row.n_known, row.train_tokens, row.base_score, row.score) == (0, 0, 0.0, 0.0)
