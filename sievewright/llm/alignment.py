@@ -38,6 +38,11 @@ ROW = "_row"
 #: Units of the documents that are put together at once; a longer document is alone.
 UNITS_AT_ONCE = 500_000
 
+#: Bytes of rows that are packed at once.
+PACK_BYTES = 64 << 20
+
+PACKED = "chunk long, size long, codes binary, text binary, n long"
+PACKED_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
 UNITS = "unit string, a array<int>, a_length array<int>, b array<int>, b_length array<int>"
 ROLLED = "row long, n_a long, n_b long, n_groups long, groups string, pairs array<int>, times array<int>"
 
@@ -114,11 +119,16 @@ def aligned(units: DataFrame) -> DataFrame:
     row is shuffled."""
     whole = Window.partitionBy("unit")
 
+    def marked(name: str) -> F.Column:
+        zipped = F.arrays_zip(F.col(name).alias("id"), F.col(f"{name}_length").alias("length"))
+        return F.transform(zipped, lambda t: F.struct(F.lit(name).alias("side"), t["id"].alias("id"), t["length"].alias("length")))
+
+    dealt = units.select("unit", F.concat(marked("a"), marked("b")).alias("t")).repartition("unit").sortWithinPartitions("unit")
+    rows = dealt.select("unit", F.posexplode("t").alias("place", "t")).select("unit", "place", "t.*")
+
     def side(name: str) -> DataFrame:
-        dealt = units.select("unit", F.arrays_zip(name, f"{name}_length").alias("t")).repartition("unit").sortWithinPartitions("unit")
-        rows = dealt.select("unit", F.posexplode("t").alias("place", "t"))
-        end = F.sum(f"t.{name}_length").over(whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.select("unit", end.alias("end"), F.col(f"t.{name}").alias(name))
+        end = F.sum("length").over(whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        return rows.where(F.col("side") == name).select("unit", end.alias("end"), F.col("id").alias(name))
 
     both = side("a").join(side("b"), ["unit", "end"], "full")
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
@@ -136,29 +146,89 @@ def aligned(units: DataFrame) -> DataFrame:
 
 
 def told(units: DataFrame) -> DataFrame:
-    """Aligned units with their groups as text and all links of their groups as pair numbers."""
+    """Aligned units with their groups as text."""
     text = F.transform("groups", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ",")))
-    links = F.transform("groups", lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: F.shiftleft(x, LOW_BITS) + y))))
-    return units.select("unit", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), F.array_join(text, ";").alias("groups"), F.flatten(links).alias("links"))
+    return units.select("unit", F.array_join(text, ";").alias("groups"))
+
+
+def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows chunk, code, groups as one row for many of a chunk: their codes, and their groups, null as empty, one to a line."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for chunk, parts in held.items():
+            one = pa.Table.from_batches(parts)
+            text = "\n".join(pc.fill_null(one["groups"], "").to_pylist()).encode()
+            codes = np.asarray(one["code"]).astype(np.int32).tobytes()
+            row = [[chunk], [len(text)], [pa.compress(codes, "zstd", asbytes=True)], [pa.compress(text, "zstd", asbytes=True)], [one.num_rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, PACKED_TYPES, strict=True)], names=["chunk", "size", "codes", "text", "n"])
+
+    for batch in batches:
+        chunk = np.asarray(batch.column(0))
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(chunk[order])) + 1, len(order)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                held.setdefault(int(chunk[order[a]]), []).append(batch.take(pa.array(order[a:b])))
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield from rows()
+            held, size = {}, 0
+    yield from rows()
+
+
+def numbers(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a text of digits and separators that ends in a separator, and the place of the separator after each."""
+    raw = np.frombuffer(text, np.uint8)
+    digit = (raw >= 48) & (raw < 58)
+    ends = np.flatnonzero(digit[:-1] & ~digit[1:]) + 1
+    starts = np.flatnonzero(np.r_[True, ~digit[:-1]] & digit)
+    value, size = np.zeros(len(ends), np.int64), ends - starts
+    for i in range(int(size.max(initial=0))):
+        here = i < size
+        value[here] = value[here] * 10 + raw[starts[here] + i] - 48
+    return value, ends
 
 
 class Dictionary:
-    """A chunk's units: their groups and links, by code; units without a row in the alignment are bad."""
-
-    def __init__(self, parts: list[pa.RecordBatch]) -> None:
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        self.bad = np.asarray(rows["n_a"].is_null())
-        self.figures = np.stack([np.asarray(pc.fill_null(rows[c], 0)) for c in ("n_a", "n_b", "n_groups")])
-        self.groups = pc.fill_null(rows["groups"], "").combine_chunks().cast(pa.large_string())
-        links = rows["links"].combine_chunks()
-        self.sizes = np.asarray(pc.fill_null(pc.list_value_length(links), 0)).astype(np.int64)
-        self.links = np.asarray(links.flatten()).astype(np.int64)
+    """A chunk's units: their groups as text and their links, by code; units without groups are bad."""
+
+    def __init__(self, parts: list[dict]) -> None:
+        codes = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(pa.decompress(p["codes"], p["n"] * 4, "zstd", asbytes=True), np.int32) for p in parts)])
+        lines = b"\n".join([pa.decompress(p["text"], p["size"], "zstd", asbytes=True) if p["size"] else b"" for p in parts]) + b"\n"
+        text = pc.split_pattern(pa.array([lines[:-1].decode()], pa.large_string()), "\n").flatten()[: len(codes)]
+        self.groups = text.take(pa.array(np.argsort(codes, kind="stable")))
+        self.bad = np.asarray(pc.equal(pc.binary_length(self.groups), 0))
+        ids, ends = numbers(lines)
+        raw = np.frombuffer(lines, np.uint8)
+        self.fill(codes[np.searchsorted(np.flatnonzero(raw == 10), ends)], ids, raw[ends])
+
+    def fill(self, unit: np.ndarray, ids: np.ndarray, after: np.ndarray) -> None:
+        """Links and figures from all numbers: the unit of each, and whether , | ; or a line's end follows it."""
+        n = len(self.groups)
+        last = (after == 59) | (after == 10)
+        group = np.cumsum(last) - last
+        n_groups = int(last.sum())
+        turn = np.flatnonzero(after == 124)  # the last id of a in each group
+        begins = np.r_[0, np.flatnonzero(last)[:-1] + 1] if n_groups else np.empty(0, np.int64)
+        n_a = turn - begins + 1
+        n_b = np.flatnonzero(last) - turn
+        owner = unit[begins] if n_groups else np.empty(0, np.int64)
+        self.figures = np.stack([np.bincount(owner, w, n).astype(np.int64) for w in (n_a, n_b, np.ones(n_groups, np.int64))])
+        # each id of a meets all of b in its group
+        mine = np.arange(len(ids)) - begins[group] if len(ids) else np.empty(0, np.int64)
+        of_a = mine < n_a[group] if len(ids) else np.empty(0, bool)
+        left, g = ids[of_a], group[of_a]
+        pairs = (np.repeat(left, n_b[g]) << LOW_BITS) + ids[gathered(turn[g] + 1, n_b[g])]
+        whose = np.repeat(owner[g], n_b[g])
+        by = np.argsort(whose, kind="stable")
+        self.links, self.sizes = pairs[by], np.bincount(whose, minlength=n).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def documents(self, rows: pa.Array, codes: pa.Array) -> pa.RecordBatch:
+    def documents(self, rows: pa.Array, codes: list[bytes], sizes: np.ndarray) -> pa.RecordBatch:
         """What documents are made of, from their codes."""
-        sizes = np.asarray(pc.binary_length(codes)).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(codes.to_pylist()), np.int32)
+        flat = np.frombuffer(b"".join(codes), np.int32)
         document = np.repeat(np.arange(len(sizes)), sizes)
         bad = np.zeros(len(sizes), bool)
         bad[document[self.bad[flat]]] = True
@@ -166,8 +236,8 @@ class Dictionary:
         flat, document = flat[good], document[good]
         sizes = np.where(bad, 0, sizes)
         totals = [np.bincount(document, f[flat], len(sizes)).astype(np.int64) for f in self.figures]
-        ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), self.groups.take(pa.array(flat)))
+        ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), self.groups.take(pa.array(flat)))
         text = pc.binary_join(lists, pa.scalar(";", pa.large_string())).cast(pa.string())
         here, times = np.unique(document * len(self.sizes) + flat, return_counts=True)  # a document's distinct units
         unit = here % max(len(self.sizes), 1)
@@ -187,20 +257,22 @@ class Dictionary:
 
 def put_together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a stream of chunks (see by_chunk)."""
-    parts: list[pa.RecordBatch] = []
+    parts: list[dict] = []
     dictionary = None
     for new, documents, rows in runs(batches):
         if new:
             parts, dictionary = [], None
         if not documents:
-            parts.append(rows)
+            parts += rows.select(["codes", "text", "size", "n"]).to_pylist()
             continue
         if dictionary is None:
-            dictionary, parts = Dictionary(parts or [rows.slice(0, 0)]), []
-        held = np.cumsum(np.asarray(pc.binary_length(rows.column("codes"))).astype(np.int64)) // (4 * UNITS_AT_ONCE)
-        cuts = np.r_[0, np.flatnonzero(held[1:] != held[:-1]) + 1, rows.num_rows]
-        for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield dictionary.documents(rows.column("row").slice(at, end - at), rows.column("codes").slice(at, end - at))
+            dictionary, parts = Dictionary(parts), []
+        sizes = np.asarray(rows.column("size"))
+        held = np.cumsum(sizes) // UNITS_AT_ONCE
+        cuts = np.r_[0, np.flatnonzero(held[1:] != held[:-1]) + 1, rows.num_rows].tolist()
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            codes = [pa.decompress(c, 4 * n, "zstd", asbytes=True) if n else b"" for c, n in zip(rows.column("codes")[at:end].to_pylist(), sizes[at:end].tolist(), strict=True)]
+            yield dictionary.documents(rows.column("row").slice(at, end - at), codes, sizes[at:end])
 
 
 def align(docs: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
@@ -221,10 +293,9 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
     with batches_of(spark, 8192):
         distinct = write_table(encoded(dictionary.select("unit").distinct(), a, b), "alignment-units", batch=8192)
     known = told(aligned(distinct))
-    found = dictionary.join(known, "unit", "left").drop("unit")
-    stream = by_chunk(found, chunks.where("code is null").select("chunk", "code", "row", "codes"))
-    columns = ["chunk", "code", "n_a", "n_b", "n_groups", "groups", "links", "row", "codes"]
-    rolled = stream.select(*columns).mapInArrow(in_worker(put_together, "alignment.put_together"), ROLLED)
+    found = dictionary.join(known, "unit", "left").select("chunk", "code", "groups").mapInArrow(in_worker(packed, "alignment.packed"), PACKED)
+    stream = by_chunk(found.withColumn("code", F.lit(0)), chunks.where("code is null").select("chunk", "code", "row", "size", "codes"))
+    rolled = stream.select("chunk", "code", "row", "size", "n", "codes", "text").mapInArrow(in_worker(put_together, "alignment.put_together"), ROLLED)
     return rolled.withColumnRenamed("row", key)
 
 

@@ -51,12 +51,12 @@ def chunk_number(count: int) -> int:
     return (TaskContext.get().partitionId() << 24) + count
 
 
-CODED = "chunk long, code int, unit string, row long, codes binary"
+CODED = "chunk long, code int, unit string, row long, size long, codes binary"
 
 
 def coded(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """docs (row long, units array of strings) as rows of chunks: one with code and unit for each distinct unit of a chunk, one with
-    row and codes (32-bit) for each document. To be written before it is used: another run may cut other chunks."""
+    row, codes (32-bit, by zstd) and their number for each document. To be written before it is used: another run may cut other chunks."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -66,11 +66,12 @@ def coded(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
         encoded = pa.chunked_array([u.cast(pa.large_string()) for u in units]).combine_chunks().dictionary_encode()
         names = encoded.dictionary.cast(pa.string())
         n = len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), names, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=arrow)
-        ends = np.r_[0, np.cumsum(np.concatenate(counts))] * 4
-        codes = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.asarray(encoded.indices).astype(np.int32))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), names, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=arrow)
+        sizes = np.concatenate(counts)
+        raw, ends = np.asarray(encoded.indices).astype(np.int32), np.cumsum(sizes).tolist()
+        codes = pa.array([pa.compress(raw[a:b].tobytes(), "zstd", asbytes=True) if b > a else b"" for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
         n = len(codes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.concat_arrays(rows), codes], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.concat_arrays(rows), pa.array(sizes.astype(np.int64)), codes], schema=arrow)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.Array] = []
