@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from .registry import load, query
 
 # The corpus is invented prose, so that rankings run with its own frequent words in place of the domain's terms.
@@ -112,6 +113,69 @@ def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search_per_group(store, queries, 5, "label").select("label", "query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+NEAREST = """WITH q AS (SELECT label, vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, e.vec_id, list_sum([(x[1]::double - x[2]) * (x[1]::double - x[2]) for x in list_zip(embedding, q.q)]) AS distance FROM embeddings e JOIN q ON {on}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 10"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The store, and every twentieth vector as a query."""
+    store = load(spark, sf_dir, "embeddings")
+    return store, store.where("vec_id % 20 = 0")
+
+
+def to_six(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(NEAREST.format(on="true"))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth vector the ten nearest of the whole store, exactly."""
+    store, queries = asked(spark, sf_dir)
+    return to_six(V.exact_search(store, queries, 10))
+
+
+@query(NEAREST.format(on="e.label = q.label"))
+def vector_topk_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth vector the ten nearest of its label, exactly."""
+    store, queries = asked(spark, sf_dir)
+    return to_six(V.exact_search(store, queries, 10, label="label"))
+
+
+def indexed(spark: SparkSession, sf_dir: str, label: str | None) -> DataFrame:
+    store, queries = asked(spark, sf_dir)
+    quantiser = V.fit(store)
+    if quantiser is None:
+        return V.ranked(queries, [], 10, "vec_id")
+    return V.search(store, V.index(store, quantiser, label="label"), quantiser, queries, 10, label=label)
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth vector the ten nearest of the whole store through the index; nine tenths of the exact ones or more."""
+    return to_six(indexed(spark, sf_dir, None))
+
+
+@query()
+def vector_index_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth vector the ten nearest of its label through the index."""
+    return to_six(indexed(spark, sf_dir, "label"))
+
+
+@query("""SELECT kind, n_queries, true AS reached FROM (SELECT count(*) AS n_queries FROM embeddings WHERE vec_id % 20 = 0), (VALUES ('all'), ('label')) k(kind)""")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine tenths of the exact ten nearest of every twentieth vector, in the store and in its label."""
+    store, queries = asked(spark, sf_dir)
+    parts = [
+        V.recall(indexed(spark, sf_dir, label), V.exact_search(store, queries, 10, label=label)).select(
+            F.lit(kind).alias("kind"), "n_queries", (F.col("recall") >= 0.9).alias("reached")
+        )
+        for kind, label in (("all", None), ("label", "label"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("SELECT DISTINCT lang AS country FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('', 'unknown')")
 def country_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ALL stands for."""
