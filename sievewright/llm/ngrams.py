@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK_BYTES, batches_of, chunk_number
+from .chunks import batches_of, chunk_number
 from .common import ROLL, hashed_words, in_worker, mix, text_bytes, text_groups, whole_number, write_table
 
 #: A-Z become a-z; space, tab, line feed, vertical tab, form feed and carriage return become a space.
@@ -34,6 +34,8 @@ TOKEN_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b
 START, END = np.uint64(0x5157A12C0FFEE001), np.uint64(0x1E4D0F7EC7ED0B03)
 #: Bits of the filter for each level of each bigram, and probes a level: 3 false positives in a thousand.
 BITS, PROBES = 12, 8
+#: Bytes of text after which a chunk, one row, is full.
+CHUNK_BYTES = 16 << 20
 #: Greatest level.
 LEVELS = 40
 #: Weight of the words' own probabilities, in occurrences of the word before.
@@ -134,6 +136,18 @@ class Chunk:
         out[first] = len(self.words) + 1
         return out
 
+    def slices(self, most: int = 1 << 19) -> Iterator[Chunk]:
+        """The chunk's documents in runs of about `most` tokens; a longer document is alone."""
+        ends = np.cumsum(self.sizes + 1)
+        cuts = np.r_[0, np.flatnonzero(np.diff(ends // most)) + 1, len(ends)].tolist()
+        at = np.r_[0, np.cumsum(self.sizes)].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield Chunk(self.words, self.train, self.codes[at[a] : at[b]], self.ids[a:b], self.sizes[a:b], self.held[a:b])
+
+    def distinct(self, part_bits: int) -> np.ndarray:
+        """Sorted keys of the chunk's bigrams."""
+        return np.unique(np.concatenate([np.unique(s.grams(part_bits)) for s in self.slices()]))
+
     def grams(self, part_bits: int) -> np.ndarray:
         """Keys of each token's bigram: its part in the high bits, 32 bits of its hash in the low ones."""
         codes, _ = self.tokens()
@@ -256,7 +270,8 @@ def gram_filter(chunks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.of(row)
-                keys, counts = np.unique(chunk.grams(bits)[~np.repeat(chunk.held, chunk.sizes + 1)], return_counts=True)
+                keys = np.concatenate([s.grams(bits)[~np.repeat(s.held, s.sizes + 1)] for s in chunk.slices()])
+                keys, counts = np.unique(keys, return_counts=True)
                 out = [{"part": p, "chunk": row["chunk"], **b} for p, b in blobs(keys, 32, low=keys.astype(np.uint32), counts=counts.astype(np.uint32))]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow_of("part int, chunk long, low binary, counts binary"))
 
@@ -283,7 +298,7 @@ def routed(chunks: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = np.unique(Chunk.of(row).grams(bits))
+                keys = Chunk.of(row).distinct(bits)
                 out = [{"part": p, "chunk": row["chunk"], **b} for p, b in blobs(keys, 32, low=keys.astype(np.uint32))]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow_of("part int, chunk long, low binary"))
 
@@ -389,11 +404,15 @@ def score_texts(docs: DataFrame, key: str = "doc_id", broadcast_bytes: int = BRO
                 if row["kind"] < 2:
                     found[row["kind"]].append(np.frombuffer(row["counts"], np.int64 if row["kind"] == 0 else np.uint8))
                     continue
-                chunk = Chunk.of(row)
-                keys = np.unique(chunk.grams(bits))
-                q = shared.value.levels(keys) if shared else np.concatenate(found[1])
-                yield scores(chunk, np.concatenate([np.empty(0, np.int64), *found[0]]), keys, q, totals, bits)
+                chunk, counts = Chunk.of(row), np.concatenate([np.empty(0, np.int64), *found[0]])
+                sent = None if shared else (chunk.distinct(bits), np.concatenate(found[1]))
                 found = ([], [])
+                for some in chunk.slices():
+                    if shared:
+                        keys = np.unique(some.grams(bits))
+                        yield scores(some, counts, keys, shared.value.levels(keys), totals, bits)
+                    else:
+                        yield scores(some, counts, *sent, totals, bits)
 
     with batches_of(spark, 64):
         scored = write_table(stream.mapInArrow(in_worker(run, "ngrams.score"), SCORED), "ngrams-scores", batch=64)
