@@ -31,6 +31,8 @@ UNIT_EDGE = r"(?<=[^\s\p{Z}\p{C}\x{2581}])(?=[ \n][^\s\p{Z}\p{C}\x{2581}])"
 SPACE = "▁"
 #: A pair of ids is a number of 31 bits: ids of the second vocabulary take the low bits.
 LOW_BITS = 15
+#: A token is a number, its id before its length in bytes in the low bits.
+LENGTH_BITS = 12
 #: Id pairs that are broadcast with their counts at most (24 bytes each); beyond, a shuffle join takes over.
 BROADCAST_PAIRS = 1 << 20
 #: Numbers the rows of a written alignment, as identifiers may repeat.
@@ -43,7 +45,7 @@ PACK_BYTES = 64 << 20
 
 PACKED = "chunk long, size long, codes binary, text binary, n long"
 PACKED_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
-UNITS = "unit string, a array<int>, a_length array<int>, b array<int>, b_length array<int>"
+UNITS = "unit string, a array<int>, b array<int>"
 ROLLED = "row long, n_a long, n_b long, n_groups long, groups string, pairs array<int>, times array<int>"
 
 
@@ -65,6 +67,8 @@ class Tokens:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         if len(self.a_bytes) > 1 << (31 - LOW_BITS) or len(self.b_bytes) > 1 << LOW_BITS:
             raise ValueError("pairs of ids of more than 31 bits")
+        if max(map(len, self.a_bytes + self.b_bytes)) >> LENGTH_BITS:
+            raise ValueError(f"tokens of more than {LENGTH_BITS} bits of length")
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of units, each of which begins with a space or a line feed; the second tokenizer adds the space itself, and one before
@@ -88,7 +92,7 @@ def units_of(text: F.Column) -> F.Column:
 
 
 def encoded(units: DataFrame, a: str, b: str) -> DataFrame:
-    """Ids and byte lengths of distinct units; those whose tokens' bytes differ from the unit have no row."""
+    """Tokens of distinct units, ids with byte lengths; those whose tokens' bytes differ from the unit have no row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokens(a, b)
@@ -99,47 +103,36 @@ def encoded(units: DataFrame, a: str, b: str) -> DataFrame:
                 for u, x, y in zip(units, *both.encode(units), strict=True)
                 if b"".join([both.a_bytes[i] for i in x]) == (raw := u.encode()) == b"".join([both.b_bytes[i] for i in y]) and raw
             ]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in kept], pa.string()),
-                    pa.array([k[1] for k in kept], ints), pa.array([[len(both.a_bytes[i]) for i in k[1]] for k in kept], ints),
-                    pa.array([k[2] for k in kept], ints), pa.array([[len(both.b_bytes[i]) for i in k[2]] for k in kept], ints),
-                ],
-                names=["unit", "a", "a_length", "b", "b_length"],
-            )
+            sides = [pa.array([[(i << LENGTH_BITS) + len(size[i]) for i in k[side]] for k in kept], pa.list_(pa.int32())) for side, size in ((1, both.a_bytes), (2, both.b_bytes))]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), *sides], names=["unit", "a", "b"])
 
     return units.select("unit").mapInArrow(in_worker(run, "alignment.encoded"), UNITS)
 
 
 def aligned(units: DataFrame) -> DataFrame:
-    """unit, n_a, n_b, groups (array of group number, ids of a, ids of b) of units with ids and byte lengths.
+    """unit, n_a, n_b, groups (array of group number, ids of a, ids of b) of units with their tokens.
 
     Plan with spark.sql.requireAllClusterKeysForCoPartition off: all steps then keep the partitioning by unit, and no exploded
     row is shuffled."""
     whole = Window.partitionBy("unit")
 
-    def marked(name: str) -> F.Column:
-        zipped = F.arrays_zip(F.col(name).alias("id"), F.col(f"{name}_length").alias("length"))
-        return F.transform(zipped, lambda t: F.struct(F.lit(name).alias("side"), t["id"].alias("id"), t["length"].alias("length")))
-
-    dealt = units.select("unit", F.concat(marked("a"), marked("b")).alias("t")).repartition("unit").sortWithinPartitions("unit")
-    rows = dealt.select("unit", F.posexplode("t").alias("place", "t")).select("unit", "place", "t.*")
+    dealt = units.repartition("unit").sortWithinPartitions("unit")
 
     def side(name: str) -> DataFrame:
-        end = F.sum("length").over(whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.where(F.col("side") == name).select("unit", end.alias("end"), F.col("id").alias(name))
+        tokens = dealt.select("unit", F.posexplode(name).alias("place", "token"))
+        end = F.sum(F.col("token").bitwiseAND((1 << LENGTH_BITS) - 1)).over(whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        return tokens.select("unit", end.alias("end"), F.shiftright("token", LENGTH_BITS).alias(name))
 
-    both = side("a").join(side("b"), ["unit", "end"], "full")
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    before = F.sum(cut).over(whole.orderBy("end").rowsBetween(Window.unboundedPreceding, -1))
-    grouped = both.withColumn("group", F.coalesce(before, F.lit(0)))
+    def grouped(name: str, other: str) -> DataFrame:
+        cuts = side(other).select("unit", "end", F.lit(1).alias("cut"))
+        before = F.sum("cut").over(whole.orderBy("end").rowsBetween(Window.unboundedPreceding, -1))
+        rows = side(name).join(cuts, ["unit", "end"], "left").withColumn("group", F.coalesce(before, F.lit(0)))
+        return rows.groupBy("unit", "group").agg(ids(name))
 
     def ids(name: str) -> F.Column:
-        held = F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("end", name))))
-        return F.transform(held, lambda x: x[name]).alias(name)
+        return F.transform(F.sort_array(F.collect_list(F.struct("end", name))), lambda x: x[name]).alias(name)
 
-    groups = grouped.groupBy("unit", "group").agg(ids("a"), ids("b"))
+    groups = grouped("a", "b").join(grouped("b", "a"), ["unit", "group"])
     return groups.groupBy("unit").agg(
         F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), F.sort_array(F.collect_list(F.struct("group", "a", "b"))).alias("groups")
     )
@@ -287,8 +280,7 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(whole_number(docs, key).alias("row"), units_of(F.col("text")).alias("units"))
     with batches_of(spark, 512):
-        chunks = coded(rows)
-        chunks = write_table(chunks, "alignment-chunks", batch=512)
+        chunks = write_table(coded(rows), "alignment-chunks", batch=512)
     dictionary = chunks.where("code is not null").select("chunk", "code", "unit")
     with batches_of(spark, 8192):
         distinct = write_table(encoded(dictionary.select("unit").distinct(), a, b), "alignment-units", batch=8192)
