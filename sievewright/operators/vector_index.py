@@ -35,6 +35,9 @@ BLOCK, QUERIES = 4096, 10_000
 #: Queries whose distances to a block are held at once.
 AT_ONCE = 256
 
+#: No candidate.
+NONE = np.uint64(2**64 - 1)
+
 ENTRY = "cell int, ids binary, labels binary, codes binary, n int"
 
 
@@ -111,21 +114,19 @@ def measured(q: Quantiser, x: np.ndarray, of: np.ndarray, recall: float, k: int,
     tenfold of the sample in the store, whose neighbours are closer to each other."""
     trials = np.arange(min(TRIALS, len(x)))
     codes = q.rest_codes(x, of)
-    by_distance = np.argsort(squares(x[trials], q.cells), 1)
-    rank_of_cell = np.argsort(by_distance, 1)
+    rank_of_cell = np.argsort(np.argsort(squares(x[trials], q.cells), 1), 1)
+    estimate = np.empty((len(trials), len(x)), np.float32)
+    for c in np.unique(of).tolist():
+        inside = np.flatnonzero(of == c)
+        estimate[:, inside] = q.estimates(x[trials], c, codes[inside])
+    estimate[trials, trials] = np.inf
     cells_needed, places = [], []
     for t in trials.tolist():
         d = squares(x[t : t + 1], x)[0]
         d[t] = np.inf
         true = np.argsort(d)[: min(k, len(x) - 1)]
-        estimate = np.empty(len(x), np.float32)
-        for c in range(len(q.cells)):
-            inside = of == c
-            if inside.any():
-                estimate[inside] = q.estimates(x[t : t + 1], c, codes[inside])[0]
-        estimate[t] = np.inf
         place = np.empty(len(x), np.int64)
-        place[np.argsort(estimate, kind="stable")] = np.arange(len(x))
+        place[np.argsort(estimate[t], kind="stable")] = np.arange(len(x))
         cells_needed += rank_of_cell[t][of[true]].tolist()
         places += place[true].tolist()
     if not places:
@@ -186,7 +187,8 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser, ids, q, labels, asked = shared.value
-        best = [(np.empty(0, np.float32), np.empty(0, np.int64)) for _ in ids]
+        best = np.full((len(ids), keep), NONE)  # estimates before the low bits of identifiers: ties don't depend on the order of blocks
+        names = np.zeros((len(ids), keep), np.int64)
         for batch in parts:
             for row in batch.to_pylist():
                 who = asked.get(row["cell"], np.empty(0, np.int64))
@@ -195,20 +197,17 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1)
                 for at in range(0, len(who), AT_ONCE):
                     some = who[at : at + AT_ONCE]
-                    d = quantiser.estimates(q[some], row["cell"], codes)
-                    for j, i in enumerate(some.tolist()):
-                        mine = d[j], stored
-                        if labels is not None:
-                            same = label == labels[i]
-                            mine = d[j][same], stored[same]
-                        dist, name = np.r_[best[i][0], mine[0]], np.r_[best[i][1], mine[1]]
-                        if len(dist) > keep:
-                            top = np.lexsort((name, dist))[:keep] if len(dist) < 4 * keep else first(dist, name, keep)
-                            dist, name = dist[top], name[top]
-                        best[i] = dist, name
-        for i, (dist, name) in enumerate(best):
-            if len(dist):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dist), ids[i])), pa.array(name), pa.array(dist)], names=["query_id", "id", "estimate"])
+                    d = np.maximum(quantiser.estimates(q[some], row["cell"], codes), np.float32(0))
+                    key = (d.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (stored & 0xFFFFFFFF).astype(np.uint64)
+                    if labels is not None:
+                        key[label[None] != labels[some][:, None]] = NONE
+                    key = np.concatenate([best[some], key], 1)
+                    top = np.argpartition(key, keep - 1, axis=1)[:, :keep]
+                    name = np.concatenate([names[some], np.broadcast_to(stored, (len(some), len(stored)))], 1)
+                    best[some], names[some] = np.take_along_axis(key, top, 1), np.take_along_axis(name, top, 1)
+        who, place = np.nonzero(best != NONE)
+        estimate = (best[who, place] >> np.uint64(32)).astype(np.uint32).view(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(names[who, place]), pa.array(estimate)], names=["query_id", "id", "estimate"])
 
     wanted = blocks.where(F.col("cell").isin([int(c) for c in asked])) if len(asked) < len(quantiser.cells) else blocks
     with batches(blocks.sparkSession, 64):
