@@ -38,10 +38,10 @@ BROADCAST_PAIRS = 1 << 20
 #: Numbers the rows of a written alignment, as identifiers may repeat.
 ROW = "_row"
 #: Units of the documents that are put together at once; a longer document is alone.
-UNITS_AT_ONCE = 500_000
+UNITS_AT_ONCE = 200_000
 
 #: Bytes of rows that are packed at once.
-PACK_BYTES = 64 << 20
+PACK_BYTES = 32 << 20
 
 PACKED = "chunk long, size long, codes binary, text binary, n long"
 PACKED_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
@@ -184,39 +184,44 @@ def numbers(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return value, ends
 
 
+def figures(lines: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n units' groups, one unit to a line: ids of a, ids of b and groups (a row each), and the links of each unit, one unit after the
+    other, with how many each has. An empty line has none."""
+    ids, ends = numbers(lines)
+    raw = np.frombuffer(lines, np.uint8)
+    after, unit = raw[ends], np.searchsorted(np.flatnonzero(raw == 10), ends)
+    if not len(ids):
+        return np.zeros((3, n), np.int64), np.empty(0, np.int32), np.zeros(n, np.int64)
+    last = np.flatnonzero((after == 59) | (after == 10))  # the last id of each group, before ; or a line's end
+    turn = np.flatnonzero(after == 124)  # the last id of a in each group, before |
+    begins = np.r_[0, last[:-1] + 1]
+    n_a, n_b, owner = turn - begins + 1, last - turn, unit[begins]
+    totals = np.stack([np.bincount(owner, w, n).astype(np.int64) for w in (n_a, n_b, np.ones(len(last), np.int64))])
+    left = gathered(begins, n_a)  # each id of a meets all of b in its group
+    group = np.repeat(np.arange(len(last)), n_a)
+    links = (np.repeat(ids[left], n_b[group]) << LOW_BITS) + ids[gathered(turn[group] + 1, n_b[group])]
+    return totals, links.astype(np.int32), np.bincount(owner, n_a * n_b, n).astype(np.int64)
+
+
 class Dictionary:
     """A chunk's units: their groups as text and their links, by code; units without groups are bad."""
 
     def __init__(self, parts: list[dict]) -> None:
-        codes = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(pa.decompress(p["codes"], p["n"] * 4, "zstd", asbytes=True), np.int32) for p in parts)])
-        lines = b"\n".join([pa.decompress(p["text"], p["size"], "zstd", asbytes=True) if p["size"] else b"" for p in parts]) + b"\n"
-        text = pc.split_pattern(pa.array([lines[:-1].decode()], pa.large_string()), "\n").flatten()[: len(codes)]
-        self.groups = text.take(pa.array(np.argsort(codes, kind="stable")))
+        codes, texts, totals, links, sizes = [np.empty(0, np.int32)], [pa.array([], pa.large_string())], [np.zeros((3, 0), np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        while parts:
+            p = parts.pop()
+            lines = pa.decompress(p["text"], p["size"], "zstd", asbytes=True) if p["size"] else b""
+            codes.append(np.frombuffer(pa.decompress(p["codes"], p["n"] * 4, "zstd", asbytes=True), np.int32))
+            texts.append(pc.split_pattern(pa.array([lines.decode()], pa.large_string()), "\n").flatten())
+            for held, new in zip((totals, links, sizes), figures(lines + b"\n", p["n"]), strict=True):
+                held.append(new)
+        order = np.argsort(np.concatenate(codes), kind="stable")
+        sizes = np.concatenate(sizes)
+        self.groups = pa.concat_arrays(texts).take(pa.array(order))
         self.bad = np.asarray(pc.equal(pc.binary_length(self.groups), 0))
-        ids, ends = numbers(lines)
-        raw = np.frombuffer(lines, np.uint8)
-        self.fill(codes[np.searchsorted(np.flatnonzero(raw == 10), ends)], ids, raw[ends])
-
-    def fill(self, unit: np.ndarray, ids: np.ndarray, after: np.ndarray) -> None:
-        """Links and figures from all numbers: the unit of each, and whether , | ; or a line's end follows it."""
-        n = len(self.groups)
-        last = (after == 59) | (after == 10)
-        group = np.cumsum(last) - last
-        n_groups = int(last.sum())
-        turn = np.flatnonzero(after == 124)  # the last id of a in each group
-        begins = np.r_[0, np.flatnonzero(last)[:-1] + 1] if n_groups else np.empty(0, np.int64)
-        n_a = turn - begins + 1
-        n_b = np.flatnonzero(last) - turn
-        owner = unit[begins] if n_groups else np.empty(0, np.int64)
-        self.figures = np.stack([np.bincount(owner, w, n).astype(np.int64) for w in (n_a, n_b, np.ones(n_groups, np.int64))])
-        # each id of a meets all of b in its group
-        mine = np.arange(len(ids)) - begins[group] if len(ids) else np.empty(0, np.int64)
-        of_a = mine < n_a[group] if len(ids) else np.empty(0, bool)
-        left, g = ids[of_a], group[of_a]
-        pairs = (np.repeat(left, n_b[g]) << LOW_BITS) + ids[gathered(turn[g] + 1, n_b[g])]
-        whose = np.repeat(owner[g], n_b[g])
-        by = np.argsort(whose, kind="stable")
-        self.links, self.sizes = pairs[by], np.bincount(whose, minlength=n).astype(np.int64)
+        self.figures = np.concatenate(totals, 1)[:, order]
+        self.links = np.concatenate(links)[gathered((np.cumsum(sizes) - sizes)[order], sizes[order])]
+        self.sizes = sizes[order]
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def documents(self, rows: pa.Array, codes: list[bytes], sizes: np.ndarray) -> pa.RecordBatch:
