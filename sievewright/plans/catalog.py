@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, pages, search, texts
+from . import analytics, languages, pages, search, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "pages", "search", "texts"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "languages", "pages", "search", "texts"]
