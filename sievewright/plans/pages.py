@@ -9,6 +9,7 @@ from ..functions import tables as B
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import statistics as S
+from ..operators import synonyms as Y
 from ..sources import providers
 from .analytics import T_VALUES, TABLES_SQL, order_tables, r6
 from .registry import load, query
@@ -165,3 +166,28 @@ def reliability_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return docs.agg(F.count("*").alias("rows_"), F.countDistinct("lang").alias("countries"), F.countDistinct("source").alias("sources"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("names"))
+
+
+#: Runs of ten or more letters a-z stand for outcome names; the SQL's distance counts bytes.
+NAMES = r"""SELECT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS name FROM conversations"""
+
+
+def outcome_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0))).alias("name"))
+
+
+@query(f"""WITH n AS (SELECT DISTINCT name FROM ({NAMES}))
+SELECT x.name AS a, y.name AS b, levenshtein(x.name, y.name)::INTEGER AS distance FROM n x JOIN n y ON x.name < y.name AND abs(length(x.name) - length(y.name)) <= 1 AND levenshtein(x.name, y.name) <= 1""")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of distinct names within one edit."""
+    return Y.similar_strings(outcome_names(spark, sf_dir), "name", 1)
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT name, count(*) AS n FROM ({NAMES}) GROUP BY name),
+p AS MATERIALIZED (SELECT x.name AS a, y.name AS b FROM c x JOIN c y ON x.name <> y.name AND abs(length(x.name) - length(y.name)) <= 1 AND levenshtein(x.name, y.name) <= 1),
+w AS (SELECT name AS node, name AS seen FROM c UNION SELECT w.node, p.b FROM w JOIN p ON p.a = w.seen),
+g AS (SELECT node, min(seen) AS least FROM w GROUP BY node)
+SELECT name, arg_min(name, (-n, name)) OVER (PARTITION BY least) AS canonical, n FROM c JOIN g ON node = name""")
+def synonym_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names merged under the most frequent one of their group."""
+    return Y.synonym_groups(outcome_names(spark, sf_dir), "name", 1)
