@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, languages, pages, ruled, search, texts
+from . import agreement, analytics, languages, pages, ruled, search, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "languages", "pages", "ruled", "search", "texts"]
+__all__ = ["ORACLES", "QUERIES", "agreement", "analytics", "languages", "pages", "ruled", "search", "texts"]
