@@ -71,6 +71,23 @@ def first_year(c: Column) -> Column:
     return F.when(found == "", "unknown_year").otherwise(found)
 
 
+#: What a line says that names the date of a document (fixed values).
+DATE_TRIGGERS = (
+    "submission date", "submitted on", "report date", "date of submission", "date of issue",
+    "soumission", "data di presentazione", "fecha de presentación",
+    "datum der einreichung", "fecha de remisión", "submitted:", "issued on", "rapport",
+    "published:", "published", "publication date", "date of publication",
+)
+
+
+def submission_year(page: Column, triggers: Sequence[str] = DATE_TRIGGERS) -> Column:
+    """The first year of the first line that has a trigger and a year, else the first year of the page, whole, or unknown_year. The
+    page is a document's first one."""
+    lines = F.split(page, r"\r\n|[\n\r]")
+    said = F.filter(lines, lambda x: contains_any(x, triggers) & x.rlike(YEAR))
+    return F.when(F.size(said) > 0, first_year(F.get(said, F.lit(0)))).otherwise(F.coalesce(first_year(page), F.lit("unknown_year")))
+
+
 def key_numbers(c: Column, limit: int = 10) -> Column:
     return F.slice(F.regexp_extract_all(c, F.lit(KEY_NUMBER), F.lit(0)), 1, limit)
 

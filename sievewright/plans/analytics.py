@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as B
 from ..operators import evidence as E
+from ..operators import lookup as U
 from ..operators import statistics as S
 from .registry import load, query
 
@@ -350,3 +351,24 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a page, one an event, joined to lines."""
     words = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_returnflag").alias("text"), F.col("l_quantity").alias("top"), F.col("l_extendedprice").alias("x0"))
     return E.words_to_lines(words, ["page"])
+
+
+FILE_NAMES = """concat(lower(replace(p_brand, '#', '')), '_', replace(p_name, ' ', '_'), CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('_', p_size) END, CASE WHEN p_size % 10 = 9 THEN '.txt' ELSE '_retrieval_results.json' END) AS name"""
+REQUESTS = (
+    "c_custkey", "CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'et' ELSE concat('brand', c_custkey % 30) END AS source_type",
+    "CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'small_ring' WHEN 2 THEN 'red_widget' ELSE 'ring' END AS retrieval_type",
+    "CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN concat(c_custkey % 50, ' MG') ELSE '  ' END AS indication",
+)
+
+
+@query(f"""WITH f AS (SELECT DISTINCT name FROM (SELECT {FILE_NAMES} FROM part) WHERE ends_with(name, '_retrieval_results.json')),
+r AS (SELECT c_custkey, coalesce(source_type, '') AS s, coalesce(retrieval_type, '') AS t, nullif(split_part(trim(coalesce(indication, '')), ' ', 1), '') AS i FROM (SELECT {', '.join(REQUESTS)} FROM customer)),
+k AS (SELECT *, s || CASE WHEN t <> '' THEN '_' || t ELSE '' END AS stem FROM r),
+h AS (SELECT c_custkey, 1 AS rule, name FROM k JOIN f ON name = stem || '_' || lower(i) || '_retrieval_results.json' UNION ALL SELECT c_custkey, 2, name FROM k JOIN f ON name = stem || '_retrieval_results.json'
+  UNION ALL SELECT c_custkey, 3, min(name) FROM k JOIN f ON contains(name, s) AND contains(name, t) GROUP BY c_custkey),
+b AS (SELECT c_custkey, arg_min(name, rule) AS name, min(rule) AS rule FROM h GROUP BY c_custkey)
+SELECT c_custkey, name, rule::INTEGER AS rule FROM customer LEFT JOIN b USING (c_custkey)""")
+def file_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file that each request means, by the first rule that finds one."""
+    files = load(spark, sf_dir, "part").selectExpr(FILE_NAMES)
+    return U.resolve(load(spark, sf_dir, "customer").selectExpr(*REQUESTS), files, "c_custkey")

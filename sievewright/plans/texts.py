@@ -74,6 +74,19 @@ def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", T.first_year(text).alias("year"))
 
 
+FIRST_PAGE = r"""'Ref 1990' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE chr(10) || 'Valid to 2031' END || chr(10) || CASE o_orderkey % 3 WHEN 0 THEN 'SUBMITTED on ' WHEN 1 THEN 'Printed ' ELSE 'Rapport n. ' END
+  || CASE WHEN o_orderkey % 5 = 0 THEN 'soon' ELSE CAST(year(o_orderdate) AS STRING) || '/1' END || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN 'Publication date 2029' ELSE 'end' END"""
+
+
+@query(rf"""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'no date' ELSE {FIRST_PAGE} END AS page FROM orders),
+s AS (SELECT o_orderkey, page, list_filter(string_split(page, chr(10)), lambda x: regexp_matches(x, '\b(19|20)\d{{2}}\b') AND ({" OR ".join(f"contains(lower(x), '{t}')" for t in T.DATE_TRIGGERS)})) AS said FROM p)
+SELECT o_orderkey, coalesce(nullif(regexp_extract(CASE WHEN len(said) > 0 THEN said[1] ELSE page END, '\b(19|20)\d{{2}}\b', 0), ''), 'unknown_year') AS year FROM s""")
+def year_by_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year of a line that names a date, else of the page."""
+    page = F.when(F.col("o_orderkey") % 11 == 0, "no date").otherwise(F.expr(FIRST_PAGE))
+    return load(spark, sf_dir, "orders").select("o_orderkey", T.submission_year(page).alias("year"))
+
+
 @query(r"""WITH t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Table of  Contents' WHEN page_id % 3 = 1 THEN url || ' ....... ' || page_id ELSE url END AS line FROM pages)
 SELECT page_id, regexp_matches(line, '(?i)\bof\s+contents\b') AS is_contents, regexp_matches(line, '\.{5,}\s*\d+$') AS is_dots FROM t""")
 def toc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
