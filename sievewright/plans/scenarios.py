@@ -69,7 +69,11 @@ def chunk(documents: DataFrame, chunking: Chunking, least: int = 100) -> DataFra
 def retrieve(store: DataFrame, query: str, source_type: str, ranking: retrieval.Ranking, k: int, final_k: int, embedder: Callable[[str], list[float]] = providers.hashed_embedding) -> DataFrame:
     """For every country at once: the k nearest chunks (store: chunk_id, country, source_type, heading, text, embedding),
     near-duplicates removed, scored, and where the ranking asks for it chosen by coverage. Columns add place."""
-    q = F.array(*(F.lit(float(x)) for x in embedder(query)))
+    return retrieve_near(store, F.array(*(F.lit(float(x)) for x in embedder(query))), source_type, ranking, k, final_k)
+
+
+def retrieve_near(store: DataFrame, q: F.Column, source_type: str, ranking: retrieval.Ranking, k: int, final_k: int) -> DataFrame:
+    """What retrieve does, for a vector."""
     near = store.where(F.col("source_type") == source_type)
     near = retrieval.top_k(near, retrieval.squared_l2(F.col("embedding"), q), k * ranking.overfetch, ["country"], "chunk_id")
     unique = retrieval.greedy_unique(near, ["country"], ["rank"], "chunk_id", k * ranking.overfetch).where("kept").select("country", "chunk_id")

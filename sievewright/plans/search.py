@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators import vector_index as V
 from .registry import load, query
+from .scenarios import retrieve_near
 
 # The corpus is invented prose, so that rankings run with its own frequent words in place of the domain's terms.
 HEADINGS, DRUGS, MUTATIONS = ("the ", "en"), ("with", "license"), ("tion", "ment")
@@ -40,9 +41,13 @@ def boost_sql(b: R.Boost) -> str:
     return f"(least({n}, {b.most}) * {b.weight})" if b.most else f"(({n}) * {b.weight})"
 
 
+def score_sql(r: R.Ranking) -> str:
+    return " + ".join(["base::double", *(boost_sql(b) for b in r.boosts)])
+
+
 def ranking_sql(r: R.Ranking, source_type: str, final_k: int) -> str:
     required = f" AND regexp_matches(lower(text) || ' ' || lower(coalesce(heading, '')), '{'|'.join(r.required)}')" if r.required else ""
-    score = " + ".join(["base::double", *(boost_sql(b) for b in r.boosts)])
+    score = score_sql(r)
     k = 2 * final_k if r.coverage else final_k
     return f"""WITH {CHUNKS},
 b AS (SELECT *, count(*) OVER (PARTITION BY country) - row_number() OVER (PARTITION BY country ORDER BY doc_id) + 1 AS base
@@ -267,3 +272,31 @@ def formatted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five passages of each country and source type, with the fields a result carries."""
     rows = R.top_k(chunks(spark, sf_dir), F.col("doc_id"), 5, ["country", "source_type"], "doc_id")
     return rows.select("doc_id", "country", "source_type", F.length("text").cast("long").alias("text_length"), "heading")
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+d AS (SELECT c.*, list_sum([(x[1]::double - x[2]) * (x[1]::double - x[2]) for x in list_zip(embedding, q)]) AS distance FROM chunks c JOIN embeddings ON vec_id = doc_id, q WHERE source_type = 'hta_submission'),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY distance, doc_id) AS rank FROM d) WHERE rank <= 40),
+x AS (SELECT country, rank AS place, doc_id, text, {SETS.format(c="text")} AS ws FROM near),
+i AS (SELECT b.country, b.place, a.place AS before, a.text = b.text AS same, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) AS na, len(b.ws) AS nb FROM x a JOIN x b ON a.country = b.country AND a.place < b.place),
+p AS (SELECT x.country, x.place, x.doc_id, coalesce(list(before) FILTER (same OR n > (na + nb - n) * 7e-1 OR n > na * 9e-1 OR n > nb * 9e-1), []) AS likes FROM x LEFT JOIN i ON x.country = i.country AND x.place = i.place GROUP BY ALL),
+f AS (SELECT DISTINCT country, 0::BIGINT AS place, NULL::BIGINT AS doc_id, false AS kept, []::BIGINT[] AS before FROM p UNION ALL
+  SELECT p.country, p.place, p.doc_id, NOT list_has_any(likes, before), CASE WHEN list_has_any(likes, before) THEN before ELSE before || [p.place] END FROM f JOIN p ON p.country = f.country AND p.place = f.place + 1),
+b AS (SELECT n.*, count(*) OVER (PARTITION BY n.country) - row_number() OVER (PARTITION BY n.country ORDER BY rank) + 1 AS base FROM near n JOIN f ON f.country = n.country AND f.place = n.rank AND f.kept),
+s AS (SELECT country, doc_id, text, base, {score_sql(SUBMISSION_POPULATION)} AS score FROM b),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY score DESC, base DESC) AS place FROM s) WHERE place <= 16),
+w AS (SELECT country, place, doc_id, text, {WORDS} AS ws FROM r), y AS (SELECT country, place, doc_id, {TERMS} AS terms FROM w),
+g AS (SELECT DISTINCT country, 0 AS pick, NULL::BIGINT AS doc_id, []::VARCHAR[] AS covered, []::BIGINT[] AS chosen FROM y UNION ALL
+  SELECT country, pick + 1, b.doc_id, covered || b.terms, chosen || [b.place] FROM (
+    SELECT country, pick, any_value(covered) AS covered, any_value(chosen) AS chosen, max({{'n': n, 'back': -place, 'place': place, 'doc_id': doc_id, 'terms': terms}}) AS b FROM (
+      SELECT g.country, g.pick, covered, chosen, y.place, y.doc_id, terms, len(list_filter(terms, lambda t: NOT list_contains(covered, t))) AS n FROM g JOIN y ON y.country = g.country AND NOT list_contains(chosen, y.place) WHERE g.pick < 8)
+    GROUP BY country, pick))
+SELECT g.country, g.doc_id, s.base, s.score::DOUBLE AS score, pick::INTEGER AS place FROM g JOIN s ON s.country = g.country AND s.doc_id = g.doc_id WHERE pick > 0""")
+def retrieved_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval end to end: in each country the 40 passages nearest to vector 0 (a document's vector has its identifier), near-duplicates
+    removed, boosts on top of the rank by distance, and eight chosen by what they cover."""
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = F.broadcast(vectors.where("doc_id = 0").select(F.col("embedding").alias("q")).limit(1))  # one row
+    store = chunks(spark, sf_dir).join(vectors, "doc_id").crossJoin(q).withColumnRenamed("doc_id", "chunk_id")
+    found = retrieve_near(store, F.col("q"), "hta_submission", SUBMISSION_POPULATION, 40, 8)
+    return found.select("country", F.col("chunk_id").alias("doc_id"), "base", "score", F.col("place").cast("int").alias("place"))
