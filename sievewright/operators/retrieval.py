@@ -308,6 +308,14 @@ def similar_within(df: DataFrame, key: str, items: str, least: float, by: str) -
     return shared.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= least).select("ka", "kb", "similarity")
 
 
+def set_members(df: DataFrame, key: str, items: str, by: str) -> DataFrame:
+    """key, by and representative: the least key of the rows that agree on `by` and have equal arrays of distinct sorted items. Only digests
+    of the arrays are shuffled."""
+    rows = df.select(key, by, F.sha2(F.to_json(items), 256).alias("digest"))
+    least = rows.groupBy(F.col(by).alias("g"), F.col("digest").alias("d")).agg(F.min(key).alias("representative"))
+    return rows.join(least, F.col(by).eqNullSafe(F.col("g")) & (F.col("digest") == F.col("d"))).select(key, by, "representative")
+
+
 def holders_of(df: DataFrame, sets: DataFrame, key: str, set_key: str, items: str, members: str, more: float) -> DataFrame:
     """key, set_key and share of rows that hold more than the share `more` of a set's distinct members. Such a row holds one of any
     floor((1 - more) * size) + 1 members, so that only each set's rarest ones are joined."""

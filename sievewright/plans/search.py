@@ -210,18 +210,39 @@ def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.greedy_unique(best_passages(spark, sf_dir, 70), ["country"], ["place"], "doc_id", 140)
 
 
-@query(f"""WITH s AS (SELECT doc_id, lang, {SETS.format(c="text")} AS ws FROM documents)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws)), 6) AS similarity
-FROM s a JOIN s b ON a.doc_id < b.doc_id AND a.lang = b.lang
-WHERE len(a.ws) > 0 AND len(b.ws) > 0 AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws))
-  AND len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws)) >= 0.8""")
-def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of one language with word sets of Jaccard similarity .8 or more, by a prefix join."""
+REPRESENTATIVES = f"""m AS (SELECT doc_id, lang, ws, min(doc_id) OVER (PARTITION BY lang, ws) AS representative FROM (SELECT doc_id, lang, {SETS.format(c="text")} AS ws FROM documents)),
+s AS (SELECT * FROM m WHERE doc_id = representative),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws)), 6) AS similarity
+  FROM s a JOIN s b ON a.doc_id < b.doc_id AND a.lang = b.lang
+  WHERE len(a.ws) > 0 AND len(b.ws) > 0 AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws))
+  AND len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws)) >= 0.8)"""
+
+
+def word_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Which document stands for each document's word set in its language, and the pairs of those that stand for others."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", T.token_set(F.col("text")).alias("ws"))
-    pairs = R.similar_within(docs, "doc_id", "ws", 0.8, "lang")
+    members = R.set_members(docs, "doc_id", "ws", "lang")
+    own = members.where("doc_id = representative").select("doc_id")
+    return members, R.similar_within(docs.join(own, "doc_id", "left_semi"), "doc_id", "ws", 0.8, "lang")
+
+
+@query(f"WITH {REPRESENTATIVES} SELECT * FROM p")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents of one language with word sets of Jaccard similarity .8 or more, by a prefix join; the least document
+    stands for all of an equal set (see near_dup_members)."""
+    _, pairs = word_sets(spark, sf_dir)
     return pairs.select(F.col("ka").alias("doc_a"), F.col("kb").alias("doc_b"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH {REPRESENTATIVES}, l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_a AS doc_id FROM p UNION ALL SELECT doc_b FROM p) GROUP BY doc_id)
+SELECT m.doc_id, representative, coalesce(n, 0) AS n_links FROM m LEFT JOIN l ON l.doc_id = representative""")
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the one that stands for its word set, and how many other sets are similar to it."""
+    members, pairs = word_sets(spark, sf_dir)
+    links = pairs.select(F.explode(F.array("ka", "kb")).alias("representative")).groupBy("representative").agg(F.count("*").alias("n"))
+    return members.join(links, "representative", "left").select("doc_id", "representative", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 @query(f"""WITH d AS (SELECT doc_id, {SETS.format(c="text")} AS ws FROM documents),
 b AS (SELECT item_id, {SETS.format(c="text")} AS bs FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(bs, ws)) / len(bs), 6) AS share FROM b JOIN d ON len(list_intersect(bs, ws)) > 0.9 * len(bs) WHERE len(bs) > 0""")
