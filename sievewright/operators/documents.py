@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as B
 from ..functions import text as T
+from .ruled import merged
 
 # Titles of tables, and words that make a short line one (fixed values).
 TITLES = (
@@ -49,26 +50,17 @@ def fallback_sections(pages: DataFrame, key: str, page: str = "page", text: str
     capitals = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
     looks = lambda x: (F.size(T.tokens(x)) <= 7) & (capitals(x) | (F.substring(x, 1, 3).rlike(r"\d") & ~F.lower(x).startswith("page")))
     found = F.get(F.filter(first, looks), F.lit(0))
-    rows = pages.select(key, page, text, found.alias("h"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    item = f"struct<page:{kind[page]},text:string,h:string>"
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), F.col(text).alias("text"), "h"))).alias("ps"))
-    section = f"struct<heading:string,pages:array<{item}>>"
-
-    def step(state: Column, p: Column) -> Column:
-        last = F.element_at(state, -1)
-        new = (F.size(state) == 0) | p["h"].isNotNull() | (F.size(last["pages"]) >= cut)
-        fresh = F.struct(p["h"].alias("heading"), F.array(p).alias("pages"))
-        grown = F.struct(last["heading"].alias("heading"), F.concat(last["pages"], F.array(p)).alias("pages"))
-        kept = F.slice(state, 1, F.greatest(F.size(state) - 1, F.lit(0)))
-        return F.when(new, F.concat(state, F.array(fresh))).otherwise(F.concat(kept, F.array(grown))).cast(f"array<{section}>")
-
-    folded = lists.select(key, F.posexplode(F.aggregate("ps", F.array().cast(f"array<{section}>"), step)).alias("pos", "s"))
-    return folded.select(
-        key, (F.col("pos") + 1).alias("section"), F.coalesce("s.heading", F.lit("")).alias("heading"),
-        F.array_join(F.transform("s.pages", lambda p: p["text"]), "\n").alias("text"),
-        F.array_min(F.transform("s.pages", lambda p: p["page"])).alias("start_page"), F.array_max(F.transform("s.pages", lambda p: p["page"])).alias("end_page"),
-    )
+    rows = pages.select(key, F.col(page).alias("page"), F.col(text).alias("text"), found.alias("h"))
+    # pages since the last start with a heading; every `cut` of them a section begins
+    order = Window.partitionBy(key).orderBy("page", "text", "h")
+    runs = rows.withColumn("run", F.count("h").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("n", F.row_number().over(Window.partitionBy(key, "run").orderBy("page", "text", "h")))
+    numbered = runs.withColumn("section", F.sum(F.when((F.col("n") - 1) % cut == 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    heading = F.max(F.when(F.col("n") == 1, F.col("h")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "text", "h"))), lambda p: p["text"])
+    return numbered.groupBy(key, "section").agg(
+        F.coalesce(heading, F.lit("")).alias("heading"), F.array_join(texts, "\n").alias("text"), F.min("page").alias("start_page"), F.max("page").alias("end_page")
+    )
 
 
 def detect_tables(tables: DataFrame, key: str, page: str, table: str = "t", lines: str = "ruled") -> DataFrame:
@@ -95,10 +87,8 @@ def table_summary(tables: DataFrame, key: str, page: str) -> DataFrame:
 
 
 def merged_rules(positions: Column, gap: float) -> Column:
-    """Sorted positions of ruled lines, those within gap of the last kept one left out."""
-    kind = "array<double>"
-    step = lambda kept, p: F.when((F.size(kept) == 0) | (p - F.element_at(kept, -1) > gap), F.concat(kept, F.array(p))).otherwise(kept)
-    return F.aggregate(F.array_sort(positions.cast(kind)), F.array().cast(kind), step)
+    """Sorted positions of ruled lines, those within gap of the last kept one left out (see operators/ruled.py)."""
+    return merged(F.array_sort(positions), F.lit(gap))
 
 
 def semantic_chunks(sentences: DataFrame, by: Sequence[str], order: str, text: str, vector: str, least: int, share: float = 0.75) -> DataFrame:
@@ -112,14 +102,19 @@ def semantic_chunks(sentences: DataFrame, by: Sequence[str], order: str, text: s
     limits = rows.groupBy(*by).agg(F.percentile("distance", F.lit(share)).alias("limit"), F.array_sort(F.collect_list(F.struct(order, "distance", F.col(text).alias("t")))).alias("ss"))
 
     def step(state: Column, s: Column) -> Column:
-        last = F.element_at(state["chunks"], -1)
-        new = (F.size(state["chunks"]) == 0) | ((s["distance"] > state["limit"]) & (F.length(last) >= least))
-        joined = F.concat(F.slice(state["chunks"], 1, F.greatest(F.size(state["chunks"]) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, s["t"])))
-        return F.struct(state["limit"].alias("limit"), F.when(new, F.concat(state["chunks"], F.array(s["t"]))).otherwise(joined).alias("chunks"))
-
-    start = F.struct(F.col("limit"), F.array().cast("array<string>").alias("chunks"))
-    folded = limits.select(*by, F.posexplode(F.aggregate("ss", start, step, lambda s: s["chunks"])).alias("pos", "c"))
-    return folded.select(*by, (F.col("pos") + 1).alias("chunk"), F.col("c").alias(text))
+        """Only the place where each chunk begins is kept, and how long the last one is."""
+        new = (state["n"] == 0) | ((s["distance"] > state["limit"]) & (state["length"] >= least))
+        return F.struct(
+            state["limit"].alias("limit"), (state["n"] + 1).alias("n"),
+            F.when(new, F.length(s["t"])).otherwise(state["length"] + 1 + F.length(s["t"])).alias("length"),
+            F.when(new, F.concat(state["starts"], F.array(state["n"] + 1))).otherwise(state["starts"]).alias("starts"),
+        )
+
+    start = F.struct(F.col("limit"), F.lit(0).alias("n"), F.lit(0).alias("length"), F.array().cast("array<int>").alias("starts"))
+    folded = limits.select(*by, F.transform("ss", lambda s: s["t"]).alias("ts"), F.aggregate("ss", start, step, lambda s: s["starts"]).alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("ts") + 1))
+    chunks = F.zip_with("starts", ends, lambda a, b: F.array_join(F.slice("ts", a, b - a), " "))
+    return folded.select(*by, F.posexplode(chunks).alias("pos", "c")).select(*by, (F.col("pos") + 1).alias("chunk"), F.col("c").alias(text))
 
 
 def cover_budget(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str, items: str, budget: int, most: int, over: float = 1.1) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ruled import merged
+
 
 def consolidate(df: DataFrame, keys: Sequence[str], sets: dict[str, str]) -> DataFrame:
     """One row for each trimmed key: the sorted distinct values of the columns in sets (new name: column) and
@@ -162,19 +164,9 @@ def grid_pages(segments: DataFrame, page: Sequence[str]) -> DataFrame:
 def words_to_lines(words: DataFrame, page: Sequence[str], tolerance: float = 3.0) -> DataFrame:
     """Words (text, x0, top) joined to lines: a word within the tolerance of its line's first word belongs to the line.
     Columns: page, line_no (from 1), top, text."""
-    item = F.struct("top", "x0", "text")
-    lists = words.groupBy(*page).agg(F.array_sort(F.collect_list(item)).alias("ws"))
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
-    row = f"struct<top:{kinds['top']},ws:array<struct<x0:{kinds['x0']},text:string>>>"
-
-    def step(state: Column, w: Column) -> Column:
-        last = F.element_at(state, -1)
-        word = F.struct(w["x0"].alias("x0"), w["text"].alias("text"))
-        grown = F.struct(last["top"].alias("top"), F.concat(last["ws"], F.array(word)).alias("ws"))
-        fresh = F.struct(w["top"].alias("top"), F.array(word).alias("ws"))
-        same = (F.size(state) > 0) & (w["top"] - last["top"] <= tolerance)
-        return F.when(same, F.concat(F.slice(state, 1, F.greatest(F.size(state) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(state, F.array(fresh))).cast(f"array<{row}>")
-
-    folded = lists.select(*page, F.posexplode(F.aggregate("ws", F.array().cast(f"array<{row}>"), step)).alias("pos", "l"))
-    text = F.array_join(F.transform(F.array_sort("l.ws"), lambda w: w["text"]), " ")
-    return folded.select(*page, (F.col("pos") + 1).alias("line_no"), F.col("l.top").alias("top"), text.alias("text"))
+    starts = words.groupBy(*page).agg(merged(F.array_sort(F.collect_set("top")), F.lit(tolerance)).alias("starts"))
+    own = F.array_max(F.filter("starts", lambda s: s <= F.col("top")))
+    rows = words.join(starts, list(page)).withColumn("line", own)
+    lines = rows.groupBy(*page, "line").agg(F.min("top").alias("top"), F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("ws"))
+    number = F.row_number().over(Window.partitionBy(*page).orderBy("line"))
+    return lines.select(*page, number.alias("line_no"), "top", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"))
