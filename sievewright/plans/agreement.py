@@ -10,7 +10,7 @@ from ..operators import statistics as S
 from .registry import load, query
 
 #: Items and raters of each event type; quantiles of F by the number of items that the SQL may meet.
-ITEMS, RATERS, MOST_TYPES = 20, 3, 8
+ITEMS, RATERS, MOST_TYPES = 15, 3, 8
 QUANTILES = ", ".join(f"({n}, {S.f_quantile(0.975, n - 1, (n - 1) * (RATERS - 1))}, {S.f_quantile(0.025, n - 1, (n - 1) * (RATERS - 1))})" for n in range(ITEMS, ITEMS * MOST_TYPES + 1, ITEMS))
 
 
