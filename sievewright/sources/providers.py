@@ -8,10 +8,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import repair_json, tokens
+from .shared import written
 
 #: Function words by language for the vote (fixed values).
 STOP_WORDS = {
@@ -106,11 +107,13 @@ def extract(contexts: DataFrame, template: str, schema: str, model: Callable[[st
 
 
 def batched_prompts(rows: DataFrame, key: str, texts: tuple[str, ...], size: int, delimiter: str = "\n---\n") -> DataFrame:
-    """Prompts of `size` rows each in order of key: batch and prompt."""
-    from pyspark.sql import Window
-
+    """Prompts of `size` consecutive rows each, in order of key: batch (from 0) and prompt; only the last batch is shorter. Rows are dealt by
+    ranges of the key and written, so that their numbers hold; what is counted before each range is a row a range."""
     line = F.concat_ws("\n", F.concat(F.lit("id: "), F.col(key).cast("string")), *(F.concat(F.lit(f"{t}: "), F.col(t)) for t in texts))
-    parts = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(64)))
-    numbered = parts.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
-    grouped = numbered.groupBy("part", F.floor(F.col("n") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
-    return grouped.select("part", "batch", F.array_join(F.transform("l", lambda x: x["line"]), delimiter).alias("prompt"))
+    dealt = written(rows.select(F.col(key).alias("key"), line.alias("line")).repartitionByRange("key").withColumn("range", F.spark_partition_id()), "prompt-rows")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("key", "line")) - 1
+    numbered = dealt.withColumn("place", place).join(F.broadcast(sizes), "range").withColumn("n", F.col("place") + F.col("offset"))
+    grouped = numbered.groupBy(F.floor(F.col("n") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    return grouped.select("batch", F.array_join(F.transform("l", lambda x: x["line"]), delimiter).alias("prompt"))

@@ -347,7 +347,8 @@ def test_providers(spark):
     model = lambda p: "no json" if "bad" in p else '```{"PICOs": [{"Population": "x"}]}```'
     got = {r.country: (r.record.PICOs if r.record else None, r.error) for r in providers.extract(contexts, "Q {indication}: {context_block}", "PICOs array<struct<Population string>>", model).collect()}
     assert got["DE"][0][0].Population == "x" and got["FR"] == (None, None) and got["IT"][1] == "the answer is no JSON"
-    assert providers.batched_prompts(spark.range(10).withColumn("t", F.lit("x")), "id", ("t",), 2).count() >= 5
+    prompts = providers.batched_prompts(spark.range(101).repartition(7).withColumn("t", F.lit("x")), "id", ("t",), 10).orderBy("batch").collect()
+    assert [[int(x.split("\n")[0][4:]) for x in p.prompt.split("\n---\n")] for p in prompts] == [list(range(i, min(i + 10, 101))) for i in range(0, 101, 10)]
 
 
 def test_pipeline_from_store_to_records(spark):
