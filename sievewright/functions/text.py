@@ -117,6 +117,41 @@ def clean_punctuation(c: Column, least: int = 4) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, f"[{chr(92)}{p}]{{{least},}}", p), PUNCTUATION, c)
 
 
+#: What clean_repetition and clean_rows replace, in their order (fixed values).
+REPETITION = ((r"(?U)\b(\w+)(?:,\s*\1){3,}", "$1, $1"), (r"(?U)\b(\w+)(?:\s+\1){3,}", "$1 $1"), (r"(?U)\b(\w+\s+\w+\s+\w+)(?:\s+\1){2,}", "$1"))
+ROW_FAULTS = ((r"Low (\d+):", "Row $1:"), (r"(Row \d+:)\s*\1+", "$1"), (r"Row (\d+)!!+", "Row $1:"), (r"Row \d+:\s*(\n|$)", ""))
+
+
+def counted(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    """text and n: c after all replacements, and how many were made, each step counting in what the ones before it left."""
+
+    def one(state: Column, step: tuple[str, str]) -> Column:
+        return let(state, lambda s: F.struct(F.regexp_replace(s["text"], *step).alias("text"), (s["n"] + F.regexp_count(s["text"], F.lit(step[0]))).alias("n")))
+
+    return reduce(one, steps, F.struct(c.alias("text"), F.lit(0).alias("n")))
+
+
+def fix_counts(c: Column, table: Column, symbols: int = 5, punctuation: int = 4) -> Column:
+    """rows, symbols, repeated, punctuation and whitespace (0 or 1) fixes of a chunk, in the order in which clean_table_text (for tables) or
+    clean_text makes them; null counts as empty."""
+    labelled = lambda x: F.regexp_replace(x, r"(Row \d+:)(?!\s*\n)", "$1\n")
+    start = F.coalesce(c, F.lit(""))
+    signs = [(f"\\{s}{{{symbols},}}", r.replace("$", "\\$")) for s, r in SYMBOL_RUNS]
+    dots = [(f"[{chr(92)}{p}]{{{punctuation},}}", p) for p in PUNCTUATION]
+
+    def spaces(rows: Column, s: Column, r: Column, p: Column) -> Column:
+        text = p["text"]
+        tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" {2,}", " "), r"\n{3,}", "\n\n"), r"[ \t]+\n", "\n")
+        return F.struct(rows.alias("rows"), s["n"].alias("symbols"), r["n"].alias("repeated"), p["n"].alias("punctuation"), (tidy != text).cast("int").alias("whitespace"))
+
+    def after_rows(rows: Column) -> Column:
+        text = F.when(table, labelled(rows["text"])).otherwise(start)
+        n = F.when(table, rows["n"]).otherwise(0)
+        return let(counted(text, signs), lambda s: let(counted(s["text"], REPETITION), lambda r: let(counted(r["text"], dots), lambda p: spaces(n, s, r, p))))
+
+    return let(counted(start, ROW_FAULTS), after_rows)
+
+
 def clean_heading(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"<([^<>]*)>", "$1"), ROW_LABEL + r"\s*", "")
 

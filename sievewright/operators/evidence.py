@@ -96,6 +96,12 @@ def expand(df: DataFrame, arrays: dict[str, str]) -> DataFrame:
     return df.drop(*(a for n, a in arrays.items() if n != a))
 
 
+def nested_count(c: Column) -> Column:
+    """How many strings a map of maps of arrays holds; nulls hold none."""
+    inner = lambda subs: F.aggregate(F.coalesce(F.map_values(subs), F.array().cast("array<array<string>>")), F.lit(0), lambda n, names: n + F.coalesce(F.array_size(names), F.lit(0)))
+    return F.coalesce(F.aggregate(F.map_values(c), F.lit(0), lambda n, subs: n + inner(subs)), F.lit(0))
+
+
 def zip_positions(a: DataFrame, b: DataFrame, by: Sequence[str], order_a: str, order_b: str) -> DataFrame:
     """Rows of both sides with the same place in their group; the longer side's rest is left out."""
     pos = lambda d, o: d.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(o)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as B
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import evidence as E
 from ..operators import statistics as S
 from ..operators import synonyms as Y
 from ..sources import providers
@@ -162,6 +163,17 @@ def reliability_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumns({c: F.round(c, 6) for c in figures} | {c: F.round(c, 5) for c in ("ci_low", "ci_high")})
 
 
+@query("""WITH c AS (SELECT r_name, n_name, c_mktsegment, count(DISTINCT c_acctbal) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT r_name, sum(n)::INTEGER AS n FROM c GROUP BY r_name""")
+def nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values the nested map of each region holds, by nation and segment."""
+    rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = rows.groupBy("r_name", "n_name", "c_mktsegment").agg(F.collect_set(F.col("c_acctbal").cast("string")).alias("names"))
+    subs = names.groupBy("r_name", "n_name").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "names"))).alias("subs"))
+    nested = subs.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "subs"))).alias("nested"))
+    return nested.select("r_name", E.nested_count(F.col("nested")).alias("n"))
+
+
 @query("""SELECT count(*) AS rows_, count(DISTINCT lang) AS countries, count(DISTINCT source) AS sources, array_to_string(list_sort(list_distinct(list(lang))), ',') AS names FROM documents""")
 def store_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")

@@ -154,6 +154,38 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", table.alias("is_table"), T.clean_text(heading, True).alias("heading"), cleaned.alias("cleaned"), T.symbol_fixes(text).alias("fixes"))
 
 
+FAULTY = r"""replace(replace(replace(text, '.', '.....'), chr(10), concat('  ', chr(10), chr(10), chr(10), chr(10))), ' de', ' ##### Low 3: Row 7: Row 7: ')"""
+
+
+def count_sql(text: str, steps: list[tuple[str, str]]) -> tuple[str, str]:
+    """The text after all replacements, and their number, each counted in what the ones before it left."""
+    n = []
+    for pattern, replacement in steps:
+        n.append(f"len(regexp_extract_all({text}, '{pattern}'))")
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+    return text, " + ".join(n)
+
+
+ROWS_SQL, N_ROWS = count_sql("t0", [(r"Low (\d+):", r"Row \1:"), (r"(Row 7:)\s*(Row 7:)+", r"\1"), (r"Row (\d+)!!+", r"Row \1:"), (r"Row \d+:\s*(\n|$)", "")])
+SIGNS_SQL, N_SIGNS = count_sql("t2", [(rf"\{s}{{5,}}", r) for s, r in T.SYMBOL_RUNS])
+DOTS_SQL, N_DOTS = count_sql("t3", [(rf"[\{p}]{{4,}}", p) for p in T.PUNCTUATION])
+TIDY_SQL, _ = count_sql("t4", [(" {2,}", " "), (r"\n{3,}", "' || chr(10) || chr(10) || '"), (r"[ \t]+\n", "' || chr(10) || '")])
+
+
+@query(rf"""WITH a AS (SELECT source, doc_id % 2 = 0 AS is_table, {FAULTY} AS t0 FROM documents), b AS (SELECT *, {ROWS_SQL} AS t1, {N_ROWS} AS n_rows FROM a),
+c AS (SELECT *, CASE WHEN is_table THEN regexp_replace(regexp_replace(t1, '(Row \d+:)', '\1' || chr(10), 'g'), '(Row \d+:)\n(\s*\n)', '\1\2', 'g') ELSE t0 END AS t2 FROM b),
+d AS (SELECT *, {SIGNS_SQL} AS t3, {N_SIGNS} AS n_signs FROM c), e AS (SELECT *, {DOTS_SQL} AS t4, {N_DOTS} AS n_dots FROM d), f AS (SELECT *, {TIDY_SQL} <> t4 AS tidied FROM e)
+SELECT source, count(*) FILTER (NOT is_table) AS text_chunks, count(*) FILTER (is_table) AS table_chunks, (sum(n_rows) FILTER (is_table))::BIGINT AS n_rows, sum(n_signs)::BIGINT AS n_symbols, sum(n_dots)::BIGINT AS n_punctuation, count(*) FILTER (tidied) AS n_whitespace FROM f GROUP BY source""")
+def fix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many faults cleaning mends in the documents of each source, with faults put in; every second one counts as a table."""
+    table = F.col("doc_id") % 2 == 0
+    rows = load(spark, sf_dir, "documents").select("source", table.alias("is_table"), T.fix_counts(F.expr(FAULTY), table).alias("x"))
+    return rows.groupBy("source").agg(
+        F.count_if(~F.col("is_table")).alias("text_chunks"), F.count_if("is_table").alias("table_chunks"), F.sum(F.when(F.col("is_table"), F.col("x.rows"))).alias("n_rows"),
+        F.sum("x.symbols").alias("n_symbols"), F.sum("x.punctuation").alias("n_punctuation"), F.sum("x.whitespace").alias("n_whitespace"),
+    )
+
+
 HALVES = """[array_to_string(ws[1:len(ws) // 2], ' '), array_to_string(ws[len(ws) // 2 + 1:], ' ')]"""
 TOKENS = r"list_filter(regexp_split_to_array(trim({c}, E' \t\n\r'), '\s+'), lambda x: x <> '')"
 
