@@ -35,6 +35,8 @@ BLOCK, QUERIES = 4096, 10_000
 #: Queries whose distances to a block are held at once.
 AT_ONCE = 256
 
+#: Pairs of a query and a vector that a task estimates, and tasks of a search, at most.
+PAIRS, TASKS = 5_000_000, 20_000
 #: No candidate.
 NONE = np.uint64(2**64 - 1)
 
@@ -210,6 +212,9 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
         yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(names[who, place]), pa.array(estimate)], names=["query_id", "id", "estimate"])
 
     wanted = blocks.where(F.col("cell").isin([int(c) for c in asked])) if len(asked) < len(quantiser.cells) else blocks
+    # an index is small for what a search computes over it, so that tasks are counted by pairs of a query and a vector
+    pairs = (blocks.agg(F.sum("n")).first()[0] or 0) * len(ids) * quantiser.probes // len(quantiser.cells)
+    wanted = wanted.repartition(min(TASKS, 1 + pairs // PAIRS))
     with batches(blocks.sparkSession, 64):
         found = written(wanted.mapInArrow(run, "query_id long, id long, estimate float"), "vector-candidates")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("estimate", "id"))
