@@ -479,7 +479,8 @@ def read_at(stream: bytes, sample: int, n: int) -> bytes:
 
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, media: each text's UTF-8 bytes, filled up with spaces to a positive multiple of 192, as a stream.
-    Written to the shared folder."""
+    Written to the shared folder. A null text is empty; a long one is one stream of many frames; each row has a stream of its own, equal for
+    equal texts. An empty table gives no rows. Columns beside the identifier and the text are not read, whatever their names."""
 
     def make():
         def step(batch: dict[str, list]) -> dict[str, list]:

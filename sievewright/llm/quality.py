@@ -203,5 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def score_quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and score of every row, from its whole text, however long. Null and empty texts have the score of a text without words;
+    equal texts have equal scores; rows that repeat an identifier are scored each. An empty table gives no rows. Columns beside
+    the identifier and the text are not read, whatever their names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return score(docs, lambda: held.value.scorer(), key, text)

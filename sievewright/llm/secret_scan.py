@@ -109,7 +109,9 @@ def scan_secrets(
     text: str = "text",
     ratio: float = CHARS_PER_TOKEN,
 ) -> DataFrame:
-    """key, text, spans: an array of (kind, start, end), ordered by start and then by kind."""
+    """key, text, spans: an array of (kind, start, end), ordered by start and then by kind. A null text has no spans; long texts are
+    scanned whole, in linear time; rows that repeat are scanned each. An empty table gives no rows. Columns beside the identifier and the
+    text are not read, whatever their names."""
 
     def make():
         enc = vocabulary(vocabulary_path, pattern)
@@ -140,7 +142,8 @@ def span_digest(spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by mask; overlapping spans become one. Other columns stay; a null text stays null."""
+    """docs with every span replaced by mask; overlapping spans become one. Other columns stay, whatever their names; a null text
+    stays null; an empty table stays empty."""
 
     def make():
         enc = vocabulary(vocabulary_path, pattern)

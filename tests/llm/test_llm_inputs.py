@@ -9,11 +9,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import common, decontamination, flac, holders, learning, packing, passages, probminhash, quality, secret_scan, toxicity, urlfilter
 from sievewright.llm import queries as Q
 
-from .test_llm_operators import labelled, insult, odd_documents, payload, text
+from .test_llm_operators import empty, insult, labelled, odd_documents, payload, text
 
 # --- workers --------------------------------------------------------------------------------------------------------------
 
@@ -274,3 +275,16 @@ def test_long_urls_take_bounded_memory():
     strings = [b"/ads/" + b"x" * 3000, *[b"/y.exe", b"", b"/ads/"] * 40]
     whole = automaton.match(strings)
     assert (automaton.match(strings, room=100) == whole).all() and whole[0].tolist() == [True, False] and whole[1].tolist() == [False, True]
+
+
+def test_masking_and_packing_leave_clashing_columns_alone(spark):
+    names = ["spans", "start", "length", "kind", "key", "Window", "sequence_id"]
+    docs = odd_documents(spark).drop("key")
+    docs = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    masked = secret_scan.redact(docs, public_tokenizers.path(Q.BYTE_RANKS), public_tokenizers.PATTERN)
+    assert masked.columns == docs.columns and masked.count() == 8
+    assert {tuple(r[n] for n in names) for r in masked.collect()} == {tuple(range(len(names)))}
+    pieces = packing.pack(docs, public_tokenizers.path(Q.BYTE_VOCABULARY))
+    plain = packing.pack(docs.drop(*names), public_tokenizers.path(Q.BYTE_VOCABULARY))
+    assert sorted(map(str, pieces.collect())) == sorted(map(str, plain.collect()))
+    assert secret_scan.redact(empty(spark), public_tokenizers.path(Q.BYTE_RANKS), public_tokenizers.PATTERN).collect() == []
