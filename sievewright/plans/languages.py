@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import languages as L
 from .registry import load, query
 
-HELD_OUT = F.col("doc_id") % 5 == 0
+HELD_OUT = "doc_id % 5 = 0"
 
 
 def model(spark: SparkSession, sf_dir: str) -> L.Model:
-    return L.learn(load(spark, sf_dir, "documents").where(~HELD_OUT), "text", "lang")
+    return L.learn(load(spark, sf_dir, "documents").where(f"NOT ({HELD_OUT})"), "text", "lang")
 
 
 #: Trigrams in SQL with how often each word of a row's has them.
@@ -46,7 +46,7 @@ SELECT lang, count(*) AS n, count(*) FILTER (lang = language) AS n_right FROM te
 def language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many held-out documents of each language are recognised."""
     learned = model(spark, sf_dir)
-    rows = load(spark, sf_dir, "documents").where(HELD_OUT & F.col("lang").isin(*learned.languages))
+    rows = load(spark, sf_dir, "documents").where(HELD_OUT).where(F.col("lang").isin(*learned.languages))
     found = L.posteriors(rows, ["doc_id", "lang"], learned)
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("language")).alias("n_right"))
 

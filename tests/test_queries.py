@@ -49,3 +49,11 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert "n_chars" not in plan and "WindowGroupLimit" in plan
     above = plan[: plan.index("Exchange")]
     assert "contains" not in above.lower()  # the boosts are computed before the shuffle
+
+
+def test_the_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
