@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,28 @@ class Quantiser:
     books: np.ndarray
     probes: int
     candidates: int
+    #: The sample's cells, codes and labels: stored vectors, by which a search is bounded before it reads the index.
+    sample: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def bounds(self, q: np.ndarray, near: np.ndarray, labels: np.ndarray | None) -> np.ndarray:
+        """For each query an estimate that its best candidates don't exceed: that of the last of so many among the sample's vectors in
+        its cells (and of its label); infinite where the sample has fewer."""
+        out = np.full(len(q), np.inf, np.float32)
+        if self.sample is None or len(self.sample[0]) < self.candidates:
+            return out
+        of, codes, marks = self.sample
+        inside = {c: np.flatnonzero(of == c) for c in np.unique(of).tolist()}
+        for at in range(0, len(q), AT_ONCE):
+            some = slice(at, at + AT_ONCE)
+            d = np.full((len(q[some]), len(of)), np.inf, np.float32)
+            for c, rows in inside.items():
+                who = np.flatnonzero((near[some] == c).any(1))
+                if len(who):
+                    d[np.ix_(who, rows)] = self.estimates(q[some][who], c, codes[rows])
+            if labels is not None:
+                d[marks[None] != labels[some][:, None]] = np.inf
+            out[some] = np.partition(d, self.candidates - 1, axis=1)[:, self.candidates - 1] * 1.00001 + 1e-6
+        return out
 
     def rest_codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """A byte for each vector and stretch."""
@@ -94,20 +116,22 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarra
     return centres
 
 
-def fit(store: DataFrame, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95, k: int = 10, seed: int = 7) -> Quantiser | None:
+def fit(store: DataFrame, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95, k: int = 10, seed: int = 7, label: str | None = None) -> Quantiser | None:
     """A quantiser of a sample of at most SAMPLE vectors; none for a store without vectors. Cells grow with the root of the store."""
     rows = store.where(F.col(vector).isNotNull())
     n = rows.count()
-    sample = rows.select(key, vector).orderBy(F.xxhash64(key), key).limit(SAMPLE).collect()
+    mark = F.coalesce(F.col(label).cast("int"), F.lit(-1)) if label else F.lit(-1)
+    sample = rows.select(key, vector, mark.alias("mark")).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE).collect()
     if not sample:
         return None
-    x = np.array([r[vector] for r in sample], np.float32)
+    x, marks = np.array([r[vector] for r in sample], np.float32), np.array([r["mark"] for r in sample], np.int32)
     cells = k_means(x, min(CELLS, max(1, math.isqrt(n)), len(x)), seed)
     of = nearest(x, cells)
     m = next(m for m in range(min(STRETCHES, x.shape[1]), 0, -1) if x.shape[1] % m == 0)
     rest = (x - cells[of]).reshape(len(x), m, -1)
     books = np.stack([k_means(rest[:, i], 256, seed + 1 + i) for i in range(m)])
-    return measured(Quantiser(cells, books, len(cells), len(x)), x, of, recall, k, n)
+    fitted = Quantiser(cells, books, len(cells), len(x))
+    return replace(measured(fitted, x, of, recall, k, n), sample=(of, fitted.rest_codes(x, of), marks))
 
 
 def measured(q: Quantiser, x: np.ndarray, of: np.ndarray, recall: float, k: int, n: int) -> Quantiser:
@@ -184,11 +208,12 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
     most QUERIES and are broadcast; labels: only vectors of the query's label count."""
     near = np.argsort(squares(q, quantiser.cells), 1, kind="stable")[:, : quantiser.probes]
     asked = {c: np.flatnonzero((near == c).any(1)) for c in np.unique(near).tolist()}
-    shared = blocks.sparkSession.sparkContext.broadcast((quantiser, ids, q, labels, asked))
+    bounds = quantiser.bounds(q, near, labels)
+    shared = blocks.sparkSession.sparkContext.broadcast((replace(quantiser, sample=None), ids, q, labels, asked, bounds))
     keep = quantiser.candidates
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quantiser, ids, q, labels, asked = shared.value
+        quantiser, ids, q, labels, asked, bounds = shared.value
         best = np.full((len(ids), keep), NONE)  # estimates before the low bits of identifiers: ties don't depend on the order of blocks
         names = np.zeros((len(ids), keep), np.int64)
         for batch in parts:
@@ -203,6 +228,7 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
                     key = (d.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (stored & 0xFFFFFFFF).astype(np.uint64)
                     if labels is not None:
                         key[label[None] != labels[some][:, None]] = NONE
+                    key[d > bounds[some][:, None]] = NONE
                     key = np.concatenate([best[some], key], 1)
                     top = np.argpartition(key, keep - 1, axis=1)[:, :keep]
                     name = np.concatenate([names[some], np.broadcast_to(stored, (len(some), len(stored)))], 1)

@@ -150,7 +150,7 @@ def vector_topk_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def indexed(spark: SparkSession, sf_dir: str, label: str | None) -> DataFrame:
     store, queries = asked(spark, sf_dir)
-    quantiser = V.fit(store)
+    quantiser = V.fit(store, label="label")
     if quantiser is None:
         return V.ranked(queries, [], 10, "vec_id")
     return V.search(store, V.index(store, quantiser, label="label"), quantiser, queries, 10, label=label)

@@ -42,8 +42,11 @@ def test_exact_and_indexed_results(spark, same, most):
     for r in exact.collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert {q: [v for _, v in sorted(vs)] for q, vs in got.items()} == want
-    quantiser = V.fit(df)
-    found = V.search(df, V.index(df, quantiser, label="label"), quantiser, queries, 10, label=label, most=most)
+    quantiser = V.fit(df, label="label")
+    blocks = V.index(df, quantiser, label="label")
+    found = V.search(df, blocks, quantiser, queries, 10, label=label, most=most)
+    unbounded = V.search(df, blocks, V.replace(quantiser, sample=None), queries, 10, label=label, most=most)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, unbounded.collect()))
     (figures,) = V.recall(found, exact).collect()
     assert figures.n_queries == 45 and figures.recall >= 0.9
     own = {r.query_id: r.vec_id for r in found.where("rank = 1").collect()}
