@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from .statistics import interpret_icc
 
-#: Terms of the continued fraction, and halvings of the inverse.
-TERMS, HALVINGS = 300, 64
+#: Halvings of the inverse. The continued fraction takes terms by the root of its greater parameter.
+HALVINGS = 64
 TINY = 1e-300
 
 
@@ -45,7 +45,8 @@ def beta_share(a: Column, b: Column, x: Column) -> Column:
 
         first = 1 / F.when(F.abs(1 - (a + b) * x / (a + 1)) < TINY, TINY).otherwise(1 - (a + b) * x / (a + 1))
         start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
-        folded = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, lambda s, m: term(s, m.cast("double")), lambda s: s["h"])
+        terms = (30 + 6 * F.sqrt(F.greatest(a, b))).cast("int")
+        folded = F.aggregate(F.sequence(F.lit(1), terms), start, lambda s, m: term(s, m.cast("double")), lambda s: s["h"])
         front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)) / a
         return front * folded
 
