@@ -7,16 +7,19 @@ that a top-k has bounded first.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.text import let
+from ..sources.shared import batches, written
 
 #: Rows of a broadcast query set at most; above it, queries are joined by a shuffle on the filter column.
 BROADCAST_QUERIES = 10_000
@@ -289,31 +292,96 @@ def rarest(df: DataFrame, keys: Sequence[str], items: str, counts: DataFrame, n:
     return lists.select(*keys, "size", F.posexplode("few").alias("place", "f")).select(*keys, "size", "place", "f.w")
 
 
+#: Words whose counts are broadcast at most, and items of a pair that must lie among its rarest ones.
+COUNTED, MET = 1 << 19, 4
+
+
+def frequent(rows: DataFrame, items: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the most frequent items of all rows: those whose count is above the least power of two that at most
+    COUNTED items exceed. Counts travel as partial sums a task."""
+    counts = written(rows.select(F.explode(items).alias("w")).groupBy("w").count().where("count > 1"), "item-counts")
+    level = F.ceil(F.log2("count")).cast("int")  # counts of a level are above 2 ** (level - 1)
+    sizes = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    least = max(sizes, default=0) + 1
+    while least > 1 and sum(n for at, n in sizes.items() if at >= least - 1) <= COUNTED:
+        least -= 1
+    found = counts.where(level >= least).toArrow()
+    w, count = (found.column(c).to_numpy() for c in ("w", "count"))
+    order = np.argsort(w)
+    return w[order], count[order]
+
+
+def first_items(rows: DataFrame, counts: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+    """k, g, size, place (from 0) and w: of each row's items (ws, distinct hashes) the first ones by (count, hash), items without a count
+    before all others, so many that two sets of similarity `least` share MET of them, or all that they must share if fewer.
+    Nothing is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value
+        for batch in parts:
+            lists = batch.column(2)
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            w = np.asarray(lists.flatten())
+            of = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
+            n = np.where(known[at] == w, count[at], 0) if len(known) else np.zeros(len(w), np.int64)
+            order = np.lexsort((w, n, of))
+            place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place < (size - np.ceil(size * least - 1e-9).astype(np.int64) + MET)[of]
+            of = of[keep]
+            columns = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(size[of].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(w[order][keep])]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "g", "size", "place", "w"])
+
+    kinds = dict(rows.dtypes)
+    with batches(rows.sparkSession, 512):
+        return written(rows.select("k", "g", "ws").mapInArrow(run, f"k {kinds['k']}, g {kinds['g']}, size int, place int, w long"), "first-items")
+
+
 def similar_within(df: DataFrame, key: str, items: str, least: float, by: str) -> DataFrame:
     """Pairs ka < kb of rows that agree on `by` and whose arrays of distinct items have a Jaccard similarity of `least` or more.
-    Candidates agree on `by`, are of like size and share one of their rarest items (see similar_pairs) at places that leave enough
-    items behind them: the first item that a pair has in common does. Items are compared by 64-bit hashes."""
-    hashes = F.transform(items, lambda w: F.xxhash64(w))
-    rows = df.select(F.col(key).alias("k"), F.col(by).alias("g"), hashes.alias("ws")).where(F.size("ws") > 0)
-    counts = rows.select(F.explode("ws").alias("w")).groupBy("w").count().where("count > 1")
-    few = rarest(rows, ["k", "g"], "ws", counts, F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).join(counts, "w", "left_semi")
+    Candidates agree on `by`, are of like size and share MET of their first items in one order of all items (see first_items): of the o items
+    that a pair must share, the first MET have o - MET behind them in both sets. Frequent items come last in that order, and any order
+    finds all pairs. Items are compared by 64-bit hashes; only first items, and whole sets of candidates, are shuffled."""
+    rows = df.where(F.col(key).isNotNull() & F.col(by).isNotNull()).select(F.col(key).alias("k"), F.col(by).alias("g"), F.transform(items, lambda w: F.xxhash64(w)).alias("ws"))
+    rows = rows.where(F.size("ws") > 0)
+    few = first_items(rows, frequent(rows, "ws"), least)
     x, y = few.alias("x"), few.alias("y")
     like = (F.col("x.size") >= least * F.col("y.size") - 1e-9) & (F.col("y.size") >= least * F.col("x.size") - 1e-9)
+    both = F.col("x.size") + F.col("y.size")
     behind = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    like &= behind >= (F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - 1e-9
-    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.k") < F.col("y.k")) & like)
-    pairs = pairs.select(F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), (F.col("x.size") + F.col("y.size")).alias("both")).distinct()
-    a, b = rows.select(F.col("k").alias("ka"), F.col("ws").alias("wa")), rows.select(F.col("k").alias("kb"), F.col("ws").alias("wb"))
+    like &= behind + (MET - 1) >= both * (least / (1 + least)) - 1e-9
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.k") < F.col("y.k")) & like)
+    met = met.groupBy(F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), both.alias("both")).agg(F.count("*").alias("n"))
+    pairs = written(met.where(F.col("n") >= F.least(F.lit(MET), F.ceil(F.col("both") * (least / (1 + least)) - 1e-9))).drop("n"), "candidate-pairs")
+    ids = pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct()
+    sets = written(rows.select("k", "ws").join(checked(ids), "k", "left_semi"), "candidate-sets")
+    a, b = sets.select(F.col("k").alias("ka"), F.col("ws").alias("wa")), sets.select(F.col("k").alias("kb"), F.col("ws").alias("wb"))
     shared = pairs.join(a, "ka").join(b, "kb").select("ka", "kb", "both", F.size(F.array_intersect("wa", "wb")).alias("shared"))
     return shared.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= least).select("ka", "kb", "similarity")
 
 
+#: Rows of identifiers that are broadcast at most.
+BROADCAST_KEYS = 1 << 20
+
+
+def checked(keys: DataFrame) -> DataFrame:
+    """A table of keys, broadcast where it is small."""
+    keys = written(keys, "keys")
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def set_members(df: DataFrame, key: str, items: str, by: str) -> DataFrame:
-    """key, by and representative: the least key of the rows that agree on `by` and have equal arrays of distinct sorted items. Only digests
-    of the arrays are shuffled."""
-    rows = df.select(key, by, F.sha2(F.to_json(items), 256).alias("digest"))
+    """key, by, mark and representative: the least key of the rows that agree on `by` and have equal arrays of distinct sorted items; mark is a hash
+    of both, null where there are no items or `by` is null. Only digests of the arrays are shuffled; the table is written once."""
+    mark = F.when((F.size(items) > 0) & F.col(by).isNotNull(), set_mark(items, by))
+    rows = df.select(key, by, F.sha2(F.to_json(items), 256).alias("digest"), mark.alias("mark"))
     least = rows.groupBy(F.col(by).alias("g"), F.col("digest").alias("d")).agg(F.min(key).alias("representative"))
-    return rows.join(least, F.col(by).eqNullSafe(F.col("g")) & (F.col("digest") == F.col("d"))).select(key, by, "representative")
+    return written(rows.join(least, F.col(by).eqNullSafe(F.col("g")) & F.col("digest").eqNullSafe(F.col("d"))).select(key, by, "mark", "representative"), "set-members")
+
+
+def set_mark(items: str, by: str) -> Column:
+    return F.xxhash64(by, items)
 
 
 def holders_of(df: DataFrame, sets: DataFrame, key: str, set_key: str, items: str, members: str, more: float) -> DataFrame:
