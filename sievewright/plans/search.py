@@ -227,12 +227,14 @@ def word_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return members, R.similar_within(own, "doc_id", "ws", 0.8, "lang")
 
 
-@query(f"WITH {REPRESENTATIVES} SELECT * FROM p")
+@query(f"""WITH {REPRESENTATIVES} SELECT * FROM p
+UNION ALL SELECT representative AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS similarity FROM m WHERE doc_id > representative AND len(ws) > 0 AND lang IS NOT NULL""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of one language with word sets of Jaccard similarity .8 or more, by a prefix join; the least document
-    stands for all of an equal set (see near_dup_members)."""
-    _, pairs = word_sets(spark, sf_dir)
-    return pairs.select(F.col("ka").alias("doc_a"), F.col("kb").alias("doc_b"), F.round("similarity", 6).alias("similarity"))
+    """Pairs of documents of one language with word sets of Jaccard similarity .8 or more, by a prefix join. The least document
+    stands for all of an equal set: it is paired with each of them, and alone with those of other sets."""
+    members, pairs = word_sets(spark, sf_dir)
+    equal = members.where("doc_id > representative and mark is not null").select(F.col("representative").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity"))
+    return pairs.select(F.col("ka").alias("doc_a"), F.col("kb").alias("doc_b"), F.round("similarity", 6).alias("similarity")).unionByName(equal)
 
 
 @query(f"""WITH {REPRESENTATIVES}, l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_a AS doc_id FROM p UNION ALL SELECT doc_b FROM p) GROUP BY doc_id)

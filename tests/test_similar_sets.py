@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.operators import retrieval as R
+from sievewright.plans import search
 
 LEAST = 0.8
 
@@ -43,3 +44,15 @@ def test_first_items_are_few_and_rarest(spark):
     few = R.first_items(df, R.frequent(df, "ws"), LEAST).collect()
     assert len(few) == 8 * (100 - math.ceil(LEAST * 100) + R.MET)
     assert len({x.w for x in few}) == len(few)  # none of the words that all have
+
+
+def test_pairs_link_all_documents_that_resemble_another(spark, tmp_path):
+    texts = ["one two three four five six seven eight nine ten"] * 4 + ["one two three four five six seven eight nine eleven twelve"] * 3
+    texts += ["one two three four five six seven eight nine ten zwei"] * 2 + ["quite another text"] * 2 + ["", "", None, "alone here"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(90, texts[0], None), (91, texts[0], None), (92, texts[0], "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_a, x.doc_b): x.similarity for x in search.near_dup_pairs(spark, str(tmp_path)).collect()}
+    copies = {(0, 1): 1.0, (0, 2): 1.0, (0, 3): 1.0, (4, 5): 1.0, (4, 6): 1.0, (7, 8): 1.0, (9, 10): 1.0}
+    assert got == copies | {(0, 7): round(10 / 11, 6)}
+    members = {x.doc_id: (x.representative, x.n_links) for x in search.near_dup_members(spark, str(tmp_path)).collect()}
+    assert len(members) == len(rows) and members[3] == (0, 1) and members[8] == (7, 1) and members[6] == (4, 0) and members[91] == (90, 0)
