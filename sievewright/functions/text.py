@@ -131,9 +131,9 @@ def counted(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
     return reduce(one, steps, F.struct(c.alias("text"), F.lit(0).alias("n")))
 
 
-def fix_counts(c: Column, table: Column, symbols: int = 5, punctuation: int = 4) -> Column:
+def fix_counts(c: Column, table: Column, symbols: int = 5, punctuation: int = 4, repetition: Sequence[tuple[str, str]] = REPETITION) -> Column:
     """rows, symbols, repeated, punctuation and whitespace (0 or 1) fixes of a chunk, in the order in which clean_table_text (for tables) or
-    clean_text makes them; null counts as empty."""
+    clean_text makes them; null counts as empty. Later counts are of what the steps of `repetition` leave; without any, repeats stay."""
     labelled = lambda x: F.regexp_replace(x, r"(Row \d+:)(?!\s*\n)", "$1\n")
     start = F.coalesce(c, F.lit(""))
     signs = [(f"\\{s}{{{symbols},}}", r.replace("$", "\\$")) for s, r in SYMBOL_RUNS]
@@ -147,7 +147,7 @@ def fix_counts(c: Column, table: Column, symbols: int = 5, punctuation: int = 4)
     def after_rows(rows: Column) -> Column:
         text = F.when(table, labelled(rows["text"])).otherwise(start)
         n = F.when(table, rows["n"]).otherwise(0)
-        return let(counted(text, signs), lambda s: let(counted(s["text"], REPETITION), lambda r: let(counted(r["text"], dots), lambda p: spaces(n, s, r, p))))
+        return let(counted(text, signs), lambda s: let(counted(s["text"], repetition), lambda r: let(counted(r["text"], dots), lambda p: spaces(n, s, r, p))))
 
     return let(counted(start, ROW_FAULTS), after_rows)
 
