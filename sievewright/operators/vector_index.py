@@ -214,6 +214,7 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser, ids, q, labels, asked, bounds = shared.value
+        bounds = bounds.copy()
         best = np.full((len(ids), keep), NONE)  # estimates before the low bits of identifiers: ties don't depend on the order of blocks
         names = np.zeros((len(ids), keep), np.int64)
         for batch in parts:
@@ -222,17 +223,22 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
                 stored = np.frombuffer(row["ids"], np.int64)
                 label = np.frombuffer(row["labels"], np.int32)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1)
-                for at in range(0, len(who), AT_ONCE):
-                    some = who[at : at + AT_ONCE]
-                    d = np.maximum(quantiser.estimates(q[some], row["cell"], codes), np.float32(0))
-                    key = (d.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (stored & 0xFFFFFFFF).astype(np.uint64)
-                    if labels is not None:
-                        key[label[None] != labels[some][:, None]] = NONE
-                    key[d > bounds[some][:, None]] = NONE
-                    key = np.concatenate([best[some], key], 1)
-                    top = np.argpartition(key, keep - 1, axis=1)[:, :keep]
-                    name = np.concatenate([names[some], np.broadcast_to(stored, (len(some), len(stored)))], 1)
-                    best[some], names[some] = np.take_along_axis(key, top, 1), np.take_along_axis(name, top, 1)
+                for mine, inside in together(len(who), labels[who] if labels is not None else None, label):
+                    names_, codes_ = stored[inside], codes[inside]
+                    low = (names_ & 0xFFFFFFFF).astype(np.uint64)
+                    for at in range(0, len(mine), AT_ONCE):
+                        some = who[mine[at : at + AT_ONCE]]
+                        d = np.maximum(quantiser.estimates(q[some], row["cell"], codes_), np.float32(0))
+                        rows, columns = np.nonzero(d <= bounds[some][:, None])
+                        cuts = np.searchsorted(rows, np.arange(len(some) + 1))
+                        for j in np.flatnonzero(np.diff(cuts)).tolist():
+                            i, at_ = some[j], columns[cuts[j] : cuts[j + 1]]
+                            key = np.concatenate([best[i], (d[j, at_].view(np.uint32).astype(np.uint64) << np.uint64(32)) | low[at_]])
+                            top = np.argpartition(key, keep - 1)[:keep]
+                            best[i], names[i] = key[top], np.concatenate([names[i], names_[at_]])[top]
+                            last = best[i].max()
+                            if last != NONE:  # ties of the last estimate still count, by identifier
+                                bounds[i] = min(bounds[i], np.uint32(last >> np.uint64(32)).view(np.float32))
         who, place = np.nonzero(best != NONE)
         estimate = (best[who, place] >> np.uint64(32)).astype(np.uint32).view(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(names[who, place]), pa.array(estimate)], names=["query_id", "id", "estimate"])
@@ -254,6 +260,35 @@ def first(dist: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((name[near], dist[near]))[:k]]
 
 
+def together(n: int, labels: np.ndarray | None, mark: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | slice]]:
+    """Queries, and the stored vectors that count for them: all, or where queries have labels those of one label after the other."""
+    if labels is None:
+        yield np.arange(n), slice(None)
+    for c in np.intersect1d(labels, mark) if labels is not None else ():
+        yield np.flatnonzero(labels == c), np.flatnonzero(mark == c)
+
+
+def closer(best: list[tuple[np.ndarray, np.ndarray]], who: np.ndarray, q: np.ndarray, x: np.ndarray, sizes: np.ndarray, stored: np.ndarray, k: int) -> None:
+    """Take up in `best` what the queries `who` find among the vectors x. Distances by a product of matrices bound what can be among the k nearest;
+    distances that count are sums of squared differences."""
+    near = (q[who] ** 2).sum(1)[:, None] + sizes[None] - 2 * q[who] @ x.T
+    bound = np.array([best[i][0].max() if len(best[i][0]) >= k else np.inf for i in who])
+    if len(stored) > k:
+        new = np.isinf(bound)
+        bound[new] = np.partition(near[new], k - 1, axis=1)[:, k - 1]
+    bound += 1e-9 * (1 + (q[who] ** 2).sum(1) + sizes.max())
+    rows, columns = np.nonzero(~(near > bound[:, None]))  # what can't be compared is kept
+    cuts = np.searchsorted(rows, np.arange(len(who) + 1))
+    for j in np.flatnonzero(np.diff(cuts)).tolist():
+        at = columns[cuts[j] : cuts[j + 1]]
+        i = who[j]
+        dist, name = np.r_[best[i][0], ((x[at] - q[i]) ** 2).sum(1)], np.r_[best[i][1], stored[at]]
+        if len(dist) > k:
+            top = first(dist, name, k)
+            dist, name = dist[top], name[top]
+        best[i] = dist, name
+
+
 def query_blocks(queries: DataFrame, key: str, vector: str, label: str | None, most: int = QUERIES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """Identifiers, vectors and labels of the queries, in blocks that are small enough to be broadcast."""
     rows: list = []
@@ -284,20 +319,20 @@ def search(store: DataFrame, blocks: DataFrame, quantiser: Quantiser, queries: D
     return ranked(queries, parts, k, key)
 
 
-def ranked(queries: DataFrame, parts: list[DataFrame], k: int, key: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+def ranked(queries: DataFrame, parts: list[DataFrame], k: int, key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id", *by).orderBy("distance", key))
     if not parts:
-        return queries.sparkSession.createDataFrame([], f"query_id long, {key} long, distance double, rank int")
+        return queries.sparkSession.createDataFrame([], ", ".join(["query_id long", *(f"{c} int" for c in by), f"{key} long, distance double, rank int"]))
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
     return both.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def exact_search(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str | None = None, most: int = QUERIES) -> DataFrame:
+def exact_search(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str | None = None, most: int = QUERIES, with_label: bool = False) -> DataFrame:
     """query_id, key, distance and rank of the k nearest vectors of each query in the whole store. Queries are broadcast in blocks
     of at most `most`, and each task keeps its own k nearest a query, so that a store of any size is read once a block and no
-    label or vector that many rows share comes to one task."""
+    label or vector that many rows share comes to one task. with_label: also the label, in which queries are then ranked."""
     rows = store.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(key).cast("long"), (F.coalesce(F.col(label).cast("int"), F.lit(-1)) if label else F.lit(-1)).alias("label"), F.col(vector).cast("array<float>"))
     parts = []
@@ -306,28 +341,26 @@ def exact_search(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
 
         def run(batched: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, labels = shared.value
+            q = q.astype(np.float64)
             best = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
             for batch in batched:
                 if not batch.num_rows:
                     continue
                 stored, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1))
                 x = np.asarray(batch.column(2).flatten(), np.float32).reshape(batch.num_rows, -1).astype(np.float64)
-                inside = {c: np.flatnonzero(mark == c) for c in np.unique(mark)} if labels is not None else {}
-                for i in range(len(ids)):
-                    some = inside.get(labels[i], np.empty(0, np.int64)) if labels is not None else slice(None)
-                    d = ((x[some] - q[i]) ** 2).sum(1)
-                    dist, name = np.r_[best[i][0], d], np.r_[best[i][1], stored[some]]
-                    if len(dist) > k:
-                        top = first(dist, name, k)
-                        dist, name = dist[top], name[top]
-                    best[i] = dist, name
+                sizes = (x**2).sum(1)
+                for who, some in together(len(ids), labels, mark):
+                    for at in range(0, len(who), AT_ONCE):
+                        closer(best, who[at : at + AT_ONCE], q, x[some], sizes[some], stored[some], k)
             for i, (dist, name) in enumerate(best):
                 if len(dist):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dist), ids[i])), pa.array(name), pa.array(dist)], names=["query_id", key, "distance"])
+                    own = np.full(len(dist), labels[i] if labels is not None else -1, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dist), ids[i])), pa.array(own), pa.array(name), pa.array(dist)], names=["query_id", "own", key, "distance"])
 
         with batches(store.sparkSession, 8192):
-            parts.append(written(rows.mapInArrow(run, f"query_id long, {key} long, distance double"), "vector-nearest"))
-    return ranked(queries, parts, k, key)
+            found = written(rows.mapInArrow(run, f"query_id long, own int, {key} long, distance double"), "vector-nearest")
+            parts.append(found.withColumnRenamed("own", label) if with_label else found.drop("own"))
+    return ranked(queries, parts, k, key, (label,) if with_label else ())
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -112,10 +112,10 @@ d AS (SELECT e.label, query_id, e.vec_id, list_sum([(x[1]::double - x[2]) * (x[1
 SELECT label, query_id, vec_id, round(distance, 6) AS distance, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
 def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every twentieth vector the five nearest vectors of its label, in one plan."""
-    store = load(spark, sf_dir, "embeddings")
-    queries = store.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.search_per_group(store, queries, 5, "label").select("label", "query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    """For every twentieth vector the five nearest vectors of its label; one without a label has none."""
+    store, queries = (rows.where("label IS NOT NULL") for rows in asked(spark, sf_dir))
+    found = V.exact_search(store, queries, 5, label="label", with_label=True)
+    return found.select("label", "query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 NEAREST = """WITH q AS (SELECT label, vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
@@ -148,24 +148,26 @@ def vector_topk_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_six(V.exact_search(store, queries, 10, label="label"))
 
 
-def indexed(spark: SparkSession, sf_dir: str, label: str | None) -> DataFrame:
+def indexed(spark: SparkSession, sf_dir: str, *labels: str | None) -> list[DataFrame]:
+    """What each search finds, within a label or without one, in one index."""
     store, queries = asked(spark, sf_dir)
     quantiser = V.fit(store, label="label")
     if quantiser is None:
-        return V.ranked(queries, [], 10, "vec_id")
-    return V.search(store, V.index(store, quantiser, label="label"), quantiser, queries, 10, label=label)
+        return [V.ranked(queries, [], 10, "vec_id") for _ in labels]
+    index = V.index(store, quantiser, label="label")
+    return [V.search(store, index, quantiser, queries, 10, label=label) for label in labels]
 
 
 @query()
 def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every twentieth vector the ten nearest of the whole store through the index; nine tenths of the exact ones or more."""
-    return to_six(indexed(spark, sf_dir, None))
+    return to_six(*indexed(spark, sf_dir, None))
 
 
 @query()
 def vector_index_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every twentieth vector the ten nearest of its label through the index."""
-    return to_six(indexed(spark, sf_dir, "label"))
+    return to_six(*indexed(spark, sf_dir, "label"))
 
 
 @query("""SELECT kind, n_queries, true AS reached FROM (SELECT count(*) AS n_queries FROM embeddings WHERE vec_id % 20 = 0), (VALUES ('all'), ('label')) k(kind)""")
@@ -173,10 +175,10 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the index finds nine tenths of the exact ten nearest of every twentieth vector, in the store and in its label."""
     store, queries = asked(spark, sf_dir)
     parts = [
-        V.recall(indexed(spark, sf_dir, label), V.exact_search(store, queries, 10, label=label)).select(
+        V.recall(found, V.exact_search(store, queries, 10, label=label)).select(
             F.lit(kind).alias("kind"), "n_queries", (F.col("recall") >= 0.9).alias("reached")
         )
-        for kind, label in (("all", None), ("label", "label"))
+        for found, kind, label in zip(indexed(spark, sf_dir, None, "label"), ("all", "label"), (None, "label"), strict=True)
     ]
     return parts[0].unionByName(parts[1])
 

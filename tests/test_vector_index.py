@@ -84,3 +84,31 @@ def test_quantiser_estimates_follow_distances():
     estimate = q.estimates(x[:1], int(of[0]), q.rest_codes(x[inside], of[inside]))[0]
     true = ((x[inside] - x[0]) ** 2).sum(1)
     assert np.corrcoef(estimate, true)[0, 1] > 0.95
+
+
+def test_exact_search_within_labels_equals_brute_force(spark, tmp_path):
+    """One search in numpy for all labels; no join that computes pairs in the JVM."""
+    from sievewright.plans import catalog
+
+    x = clustered(600, 5) * 1000
+    x[40:90] = x[3]
+    labels = np.arange(600) % 4
+    df = store(spark, x, labels)
+    df.unionByName(spark.createDataFrame([(1200, x[0].tolist(), None)], df.schema)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog.QUERIES["vector_topk_per_label"](spark, str(tmp_path))
+    assert "aggregate(" not in found._jdf.queryExecution().analyzed().toString()
+    want = brute(x, labels, range(0, 600, 20), 5, True)
+    got = {}
+    for r in found.collect():
+        assert r.label == r.query_id % 4
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [v for _, v in sorted(vs)] for q, vs in got.items()} == want
+
+
+def test_recall_uses_one_index(spark, tmp_path, monkeypatch):
+    from sievewright.plans import catalog
+
+    store(spark, clustered(400), np.arange(400) % 2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    made, index = [], V.index
+    monkeypatch.setattr(V, "index", lambda *a, **k: made.append(1) or index(*a, **k))
+    assert [r.reached for r in catalog.QUERIES["vector_index_recall"](spark, str(tmp_path)).collect()] == [True, True] and made == [1]
