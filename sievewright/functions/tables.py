@@ -32,7 +32,8 @@ def any_of(c: Column, patterns: tuple[str, ...], flags: str = "(?i)") -> Column:
 
 def clean(t: Column) -> Column:
     """Null cells as empty, white space collapsed, rows without a filled cell dropped."""
-    cells = F.transform(t, lambda row: F.transform(row, lambda c: strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
+    tidy = lambda c: F.when(c.rlike(r"\s\s|[^\S ]|^ | $"), strip(F.regexp_replace(c, r"\s+", " "))).otherwise(F.coalesce(c, F.lit("")))
+    cells = F.transform(t, lambda row: F.transform(row, tidy))
     return F.filter(cells, lambda row: F.exists(row, lambda c: c != ""))
 
 
@@ -105,19 +106,26 @@ def headers(t: Column) -> Column:
     return F.when(named | brief | numbers, names)
 
 
-def row_text(names: Column, row: Column, n: Column) -> Column:
+def labels(names: Column) -> Column:
+    """Headers as they stand before a cell, once a table: without spaces and colons at their ends."""
+    return F.transform(names, lambda h: F.concat(F.rtrim(strip(h), F.lit(":")), F.lit(": ")))
+
+
+def row_text(before: Column, row: Column, n: Column) -> Column:
     """Row n: header: cell; two pairs joined by "and", more by commas and a last ", and". Empty cells are left out, and
-    cells without a header; null if no pair is left."""
-    pair = lambda h, c: F.when((c != "") & h.isNotNull(), F.concat(F.regexp_replace(strip(h), ":+$", ""), F.lit(": "), strip(c)))
-    pairs = F.filter(F.zip_with(names, row, pair), lambda p: p.isNotNull())
+    cells without a header; null if no pair is left. before: labels; cells are clean."""
+    pair = lambda h, c: F.when(c != "", F.concat(h, c))
+    return let(F.array_compact(F.zip_with(before, row, pair)), lambda pairs: pairs_text(pairs, n))
+
+
+def pairs_text(pairs: Column, n: Column) -> Column:
     k = F.size(pairs)
-    label = F.concat(F.lit("Row "), n.cast("string"), F.lit(": "))
     told = (
         F.when(k == 1, F.get(pairs, F.lit(0)))
         .when(k == 2, F.array_join(pairs, " and "))
         .otherwise(F.concat(F.array_join(F.slice(pairs, 1, F.greatest(k - 1, F.lit(1))), ", "), F.lit(", and "), F.element_at(pairs, -1)))
     )
-    return F.when(k > 0, F.concat(label, told))
+    return F.when(k > 0, F.concat(F.lit("Row "), n.cast("string"), F.lit(": "), told))
 
 
 def bare_row_text(row: Column, n: Column) -> Column:
@@ -135,7 +143,7 @@ def narrative(t: Column, title: Column) -> Column:
 
 def told(rows: Column, names: Column, title: Column) -> Column:
     head = F.when(title.isNotNull() & (title != ""), F.concat(F.lit("Table Title: "), title, F.lit("\n\n"))).otherwise(F.lit(""))
-    body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r, i: row_text(names, r, i + 1))
+    body = let(labels(names), lambda before: F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r, i: row_text(before, r, i + 1)))
     columns = F.concat(F.lit("Table contains the following columns: "), F.array_join(names, ", "))
     with_names = F.array_join(F.concat(F.array(columns), F.array_compact(body)), "\n")
     bare = F.array_join(F.array_compact(F.transform(rows, lambda r, i: bare_row_text(r, i + 1))), "\n")
