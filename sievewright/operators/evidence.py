@@ -121,7 +121,6 @@ def heading_scores(lines: DataFrame, page: Sequence[str]) -> DataFrame:
     """Lines (size, top, bottom, bold_share, text) with heading_score and is_heading (5 or more): font size against the
     page's median, capitals, length, bold type, numbering, and the space above and below."""
     order = Window.partitionBy(*page).orderBy("top", "bottom", "size", "bold_share", "text")
-    median = F.percentile("size", F.lit(0.5)).over(Window.partitionBy(*page))
     step = lambda c, high, low: F.when(c >= high, 2).when(c >= low, 1).otherwise(0)
     more = lambda c, high, low: F.when(c > high, 2).when(c > low, 1).otherwise(0)
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
@@ -129,12 +128,16 @@ def heading_scores(lines: DataFrame, page: Sequence[str]) -> DataFrame:
     words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
     above = F.coalesce(F.col("top") - F.lag("bottom").over(order), F.lit(100))
     below = F.coalesce(F.lead("top").over(order) - F.col("bottom"), F.lit(100))
+    # lines are sorted once: what is sorted within pages is sorted by page, as the median wants it
+    spaced = lines.withColumns({"above": above, "below": below})
+    rows = spaced.withColumn("median", F.percentile("size", F.lit(0.5)).over(Window.partitionBy(*page)))
+    above, below = F.col("above"), F.col("below")
     score = (
-        step(F.col("size") / median, 1.3, 1.1) + more(upper, 0.8, 0.6) + F.when(words < 6, 2).when(words < 12, 1).otherwise(0)
+        step(F.col("size") / F.col("median"), 1.3, 1.1) + more(upper, 0.8, 0.6) + F.when(words < 6, 2).when(words < 12, 1).otherwise(0)
         + more(F.col("bold_share"), 0.7, 0.3) + F.when(F.col("text").rlike(r"^(\d+(\.\d+)*[.,)]?\s+)"), 2).otherwise(0)
         + F.when((above > 15) & (below > 10), 2).when((above > 10) | (below > 8), 1).otherwise(0)
     )
-    return lines.withColumn("heading_score", score).withColumn("is_heading", score >= 5)
+    return rows.withColumn("heading_score", score).withColumn("is_heading", F.col("heading_score") >= 5).drop("above", "below", "median")
 
 
 def column_counts(words: DataFrame, page: Sequence[str], x: str = "x0", bins: int = 20, share: float = 0.1) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievewright.functions import tables as B
+from sievewright.operators import evidence as E
 
 
 def test_pairs_of_a_row_are_built_once(spark):
@@ -14,3 +15,12 @@ def test_pairs_of_a_row_are_built_once(spark):
     ]
     assert told[2] == ""
     assert df._jdf.queryExecution().analyzed().toString().count("zip_with(") == 1
+
+
+def test_heading_scores_sort_lines_once(spark):
+    rows = [(p, f"line {i}", 10.0 * i, 10.0 * i + 8, 10.0 + i % 3, 0.1) for p in range(3) for i in range(5)]
+    df = spark.createDataFrame(rows, "page int, text string, top double, bottom double, size double, bold_share double")
+    scored = E.heading_scores(df, ["page"])
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 2
+    assert scored.columns == [*df.columns, "heading_score", "is_heading"] and scored.count() == 15
