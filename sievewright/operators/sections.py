@@ -200,13 +200,18 @@ def pack_sentences(df: DataFrame, text: str, target: int = 300, most: int = 380,
 def merge_overlaps(c: Column, most: int = 8) -> Column:
     """Pieces (an array) joined to one text, words that end one piece and begin the next counted once, up to `most`."""
 
-    def step(text: Column, piece: Column) -> Column:
-        a, b = T.tokens(text), T.tokens(piece)
+    def joined(text: Column, a: Column, b: Column) -> Column:
+        """The text and the piece's words b, less those that end the text, whose last words are a."""
         sizes = F.filter(
             F.sequence(F.lit(most), F.lit(1), F.lit(-1)),
             lambda n: (n <= F.size(a)) & (n <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n) == F.slice(b, 1, n)),
         )
         n = F.coalesce(F.get(sizes, F.lit(0)), F.lit(0))
-        return F.when(text == "", piece).otherwise(F.concat_ws(" ", text, F.array_join(F.slice(b, n + 1, F.greatest(F.size(b), F.lit(1))), " ")))
+        return F.concat_ws(" ", text, F.array_join(F.slice(b, n + 1, F.greatest(F.size(b), F.lit(1))), " "))
+
+    def step(text: Column, piece: Column) -> Column:
+        # both are cut to words once
+        both = T.let(T.tokens(text), lambda a: T.let(T.tokens(piece), lambda b: joined(text, a, b)))
+        return F.when(text == "", piece).otherwise(both)
 
     return T.strip(F.aggregate(c, F.lit(""), step))

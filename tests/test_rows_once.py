@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import tables as B
 from sievewright.operators import evidence as E
+from sievewright.operators import sections as S
 
 
 def test_pairs_of_a_row_are_built_once(spark):
@@ -24,3 +25,9 @@ def test_heading_scores_sort_lines_once(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Window [") == 2
     assert scored.columns == [*df.columns, "heading_score", "is_heading"] and scored.count() == 15
+
+
+def test_pieces_are_cut_to_words_once(spark):
+    df = spark.createDataFrame([(["a b c d", "c d e", "f", "f f"],), ([],)], "p array<string>").select(S.merge_overlaps(F.col("p")).alias("x"))
+    assert [r.x for r in df.collect()] == ["a b c d e f f", ""]
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
