@@ -49,9 +49,6 @@ def ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CELLS} SELECT page, max("row")::INTEGER AS n_rows, max(col)::INTEGER AS n_cols, count(*) AS n_cells, count(*) FILTER (text <> '') AS n_filled FROM f GROUP BY page""")
 def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's table of cells: rows, columns, cells and those with text."""
-    cells = ruled_page_cells(spark, sf_dir)
-    sizes = cells.groupBy("page").agg(F.count("*").alias("n_cells"))
-    shape = R.tables(cells, ["page"]).select(
-        "page", F.size("t").alias("n_rows"), F.size(F.element_at("t", 1)).alias("n_cols"), F.size(F.filter(F.flatten("t"), lambda x: x != "")).cast("long").alias("n_filled")
+    return R.tables(ruled_page_cells(spark, sf_dir), ["page"]).select(
+        "page", F.size("t").alias("n_rows"), F.size(F.element_at("t", 1)).alias("n_cols"), "n_cells", F.size(F.filter(F.flatten("t"), lambda x: x != "")).cast("long").alias("n_filled")
     )
-    return shape.join(sizes, "page")

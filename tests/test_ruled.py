@@ -36,3 +36,20 @@ def test_crossings_of_a_crowded_page_equal_all_pairs(spark):
     want = {(v.at, h.at) for v in rows if v.kind == "v" for h in rows if h.kind == "h" and h.low - 2 <= v.at <= h.high + 2 and v.low - 2 <= h.at <= v.high + 2}
     met = R.crossings(rules, ["page"])
     assert {(m.x, m.y) for m in met.collect()} == want and met.count() == len(want)
+
+
+def test_lines_are_shuffled_once_and_met_without_copies_of_the_work(spark):
+    lines, words = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 90.0)], LINES), spark.createDataFrame([(1, 1.0, 1.0, "x")], WORDS)
+    grid = R.cells(R.crossings(R.rules(lines, ["page"]), ["page"]), ["page"])
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert count(grid) == 1
+    assert count(R.tables(R.filled(grid, words, ["page"]), ["page"])) <= 6
+
+
+def test_cells_that_share_a_corner_are_all_there(spark):
+    at = [(0, 0), (2, 0), (2, 1), (0, 1), (1, 0), (1, 1), (0, 2), (2, 2), (5, 5)]
+    met = spark.createDataFrame([(1, float(x), float(y)) for x, y in at], "page long, x double, y double")
+    by_x, by_y = {x: sorted(b for a, b in at if a == x) for x, _ in at}, {y: sorted(a for a, b in at if b == y) for _, y in at}
+    after = lambda vs, v: next((w for w in vs if w > v), None)
+    want = {(x, y, after(by_y[y], x), after(by_x[x], y)) for x, y in at if (after(by_y[y], x), after(by_x[x], y)) in at}
+    assert {(r.x0, r.y0, r.x1, r.y1) for r in R.cells(met, ["page"]).collect()} == want
