@@ -1,8 +1,9 @@
 """Language posteriors by naive Bayes over character trigrams, and the test for English passages.
 
-A model is a table: a row a trigram with its logarithm for each language. Texts are exploded to trigrams, joined to the model and
-summed up by key, all in the JVM; a model of up to BROADCAST_GRAMS rows is broadcast, a larger one joined by a shuffle after trigrams
-are counted by key.
+A model is a table: a row a trigram with its logarithm for each language. Learning counts words first and cuts each distinct word of a
+language once. The most frequent words' sums are a second table, so that texts are exploded to words; only words beyond it are cut to
+trigrams, joined to the model and summed up by key, all in the JVM. A model of up to BROADCAST_GRAMS rows is broadcast, a larger one
+joined by a shuffle after trigrams are counted by key.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..sources.shared import written
 
 #: Rows of a model that are broadcast at most (a few dozen bytes each).
 BROADCAST_GRAMS = 1 << 20
+#: Words at most whose sums are a table of their own, which is broadcast.
+BROADCAST_WORDS = 1 << 17
 #: Languages of a model at most.
 LANGUAGES = 200
 #: The English test's limits: alone, in a document of another language, and how far above that language (fixed values).
@@ -28,12 +31,14 @@ ENGLISH, ENGLISH_IN_OTHER, ABOVE_OTHER = 0.85, 0.90, 0.20
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order of name, the logarithm of a trigram that none has seen, and the table (gram, one column a language)."""
+    """Languages in order of name, the logarithm of a trigram that none has seen, the table (gram, l0 and so on, one column a language)
+    with how many rows it has, and the sums of frequent words (word, w0 and so on)."""
 
     languages: tuple[str, ...]
     unseen: tuple[float, ...]
     table: DataFrame
     rows: int
+    words: DataFrame
 
 
 def letters(text: Column) -> Column:
@@ -44,24 +49,50 @@ def letters(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """All runs of three characters of the words of a text, each with a space before and after it."""
-    return F.regexp_extract_all(letters(text), F.lit("(?s)(?=(.[^ ].))"), F.lit(1))
+    return cut(letters(text))
+
+
+def cut(spaced: Column) -> Column:
+    return F.regexp_extract_all(spaced, F.lit("(?s)(?=(.[^ ].))"), F.lit(1))
+
+
+def words(text: Column) -> Column:
+    """The words of a text; its trigrams are those of each with a space before and after it."""
+    return F.filter(F.split(letters(text), " "), lambda w: w != "")
+
+
+def word_trigrams(word: Column) -> Column:
+    return cut(F.concat(F.lit(" "), word, F.lit(" ")))
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model of all rows with a language; a count of one is added to each trigram of each language."""
     known = rows.where(F.col(lang).isNotNull() & ~F.col(lang).isin("", "unknown"))
-    counts = written(known.select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram")).groupBy("lang", "gram").count(), "language-counts")
+    met = written(known.select(F.col(lang).alias("lang"), F.explode(words(F.col(text))).alias("word")).groupBy("lang", "word").count(), "language-words")
+    counts = met.select("lang", F.explode(word_trigrams(F.col("word"))).alias("gram"), "count").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
+    counts = written(counts, "language-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("count").alias("n")).limit(LANGUAGES + 1).collect()}
     if len(totals) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     names = tuple(sorted(totals))
     if not names:
-        return Model((), (), counts.select("gram"), 0)
+        return Model((), (), counts.select("gram"), 0, met.select("word"))
     wide = counts.groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == name, F.col("count"))).alias(f"c{i}") for i, name in enumerate(names)))
     n = counts.select("gram").distinct().count()
     log = lambda count, name: F.log((count + 1) / F.lit(float(totals[name] + n)))
     table = written(wide.select("gram", *(log(F.coalesce(F.col(f"c{i}"), F.lit(0)), name).alias(f"l{i}") for i, name in enumerate(names))), "language-model")
-    return Model(names, tuple(math.log(1 / (totals[name] + n)) for name in names), table, n)
+    unseen = tuple(math.log(1 / (totals[name] + n)) for name in names)
+    counted = met.groupBy("word").agg(F.floor(4 * F.log2(F.sum("count"))).alias("level"))  # a quarter of a doubling each, so a few hundred
+    least, held = math.inf, 0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        held += r["count"]
+        if held > BROADCAST_WORDS:
+            break
+        least = r["level"]
+    frequent = counted.where(F.col("level") >= least)
+    grams = frequent.select("word", F.explode(word_trigrams(F.col("word"))).alias("gram")).join(table, "gram", "left")
+    sums = grams.groupBy("word").agg(*(F.sum(F.coalesce(F.col(f"l{i}"), F.lit(x))).alias(f"w{i}") for i, x in enumerate(unseen)))
+    return Model(names, unseen, table, n, written(sums, "language-sums"))
 
 
 def posteriors(rows: DataFrame, by: Sequence[str], model: Model, text: str = "text") -> DataFrame:
@@ -69,14 +100,14 @@ def posteriors(rows: DataFrame, by: Sequence[str], model: Model, text: str = "te
     equally likely before; so they are for a text without letters, null or empty. Rows that agree in `by` are one text."""
     if not model.languages:
         return rows.select(*by, F.lit(None).cast("string").alias("language"), F.lit(None).cast("map<string,double>").alias("p")).dropDuplicates(list(by))
-    grams = rows.select(*by, F.explode_outer(trigrams(F.col(text))).alias("gram"))
-    few = model.rows <= BROADCAST_GRAMS
-    if few:
-        grams, table = grams.withColumn("n", F.lit(1)), F.broadcast(model.table)
+    if model.rows <= BROADCAST_GRAMS:
+        found = rows.select(*by, F.explode_outer(words(F.col(text))).alias("word")).join(F.broadcast(model.words), "word", "left")
+        rest = F.when(F.col("w0").isNull() & F.col("word").isNotNull(), word_trigrams(F.col("word")))
+        found = found.withColumn("gram", F.explode_outer(rest)).join(F.broadcast(model.table), "gram", "left").withColumn("n", F.lit(1))
     else:
-        grams, table = grams.groupBy(*by, "gram").agg(F.count("*").alias("n")), model.table
-    found = grams.join(table, "gram", "left")
-    value = lambda i: F.when(F.col("gram").isNull(), 0.0).otherwise(F.coalesce(F.col(f"l{i}"), F.lit(model.unseen[i])) * F.col("n"))
+        grams = rows.select(*by, F.explode_outer(trigrams(F.col(text))).alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("n"))
+        found = grams.join(model.table, "gram", "left").withColumns({f"w{i}": F.lit(None).cast("double") for i in range(len(model.languages))})
+    value = lambda i: F.when(F.col("gram").isNull(), F.coalesce(F.col(f"w{i}"), F.lit(0.0))).otherwise(F.coalesce(F.col(f"l{i}"), F.lit(model.unseen[i])) * F.col("n"))
     sums = found.groupBy(*by).agg(*(F.sum(value(i)).alias(f"s{i}") for i in range(len(model.languages))))
     return softmax(sums, by, model.languages)
 

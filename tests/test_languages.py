@@ -34,6 +34,23 @@ def test_posteriors_equal_a_plain_computation(spark, monkeypatch, broadcast):
     assert L.posteriors(spark.createDataFrame([(1, "a")], "k long, text string"), ["k"], none).first().language is None
 
 
+@pytest.mark.parametrize("held", [1 << 17, 2])
+def test_texts_are_exploded_to_words_and_only_rare_ones_to_trigrams(spark, monkeypatch, held):
+    monkeypatch.setattr(L, "BROADCAST_WORDS", held)
+    model = L.learn(spark.createDataFrame(TEXTS, "lang string, text string"))
+    known = {w for lang, t in TEXTS if lang in ("de", "en") for w in re.findall(r"[^\W\d_]+", t.lower())}
+    assert 0 < model.words.count() <= held and (held < len(known) or model.words.count() == len(known))
+    sums = {r["word"]: r for r in model.words.collect()}
+    table = {r["gram"]: r for r in model.table.collect()}
+    for w, r in sums.items():
+        assert all(abs(r[f"w{i}"] - sum(table[g][f"l{i}"] for g in grams(w))) < 1e-9 for i in range(2))
+    asked = spark.createDataFrame([(1, "The cat, the xyz; über!"), (2, None)], "k long, text string")
+    found = L.posteriors(asked, ["k"], model)
+    got = {r.k: r.p for r in found.collect()}
+    s = [sum(table[g][f"l{i}"] if g in table else model.unseen[i] for g in grams("The cat, the xyz; über!")) for i in range(2)]
+    assert abs(got[1]["en"] - 1 / (1 + math.exp(s[0] - s[1]))) < 1e-9 and got[2] == {"de": 0.5, "en": 0.5}
+
+
 def test_english_rules(spark):
     rows = [
         ("one two", 0.86, 0.0, "en", True), ("one two", 0.84, 0.0, "en", False), ("one two", 0.86, 0.0, None, True), ("one two", 0.89, 0.1, "de", False),
