@@ -250,6 +250,24 @@ def test_fuzzy_passages_of_partial_holders_meet(spark):
     assert sum(frozenset(p) in found for p in pairs) >= 0.9 * len(pairs)
 
 
+def test_fuzzy_passages_meet_though_others_stand_between_them_at_every_seed(spark):
+    """Two documents hold a passage with every tenth word replaced; before and between them stand holders of 12 words each."""
+    docs, pairs = {}, set()
+    for k in range(12):
+        ws = [f"p{k}x{i}" for i in range(60)]
+        other = [f"n{k}x{i}" if i % 10 == 5 else w for i, w in enumerate(ws)]
+        parts = [x[a : a + 12] for x in (ws, other) for a in range(0, 49, 6)]
+        at = 1000 * k
+        held = {at + 1 + i: x for i, x in enumerate(parts)} | {at + 101 + i: x for i, x in enumerate(parts)} | {at + 100: ws, at + 200: other}
+        for d, x in held.items():
+            docs[d] = " ".join([*(f"a{d}y{i}" for i in range(30)), *x, *(f"b{d}y{i}" for i in range(30))])
+        pairs.add((at + 100, at + 200))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for n in (1, 5):
+        rows = passages.repeated_passages(df.repartition(n, "doc_id")).collect()
+        assert {(x.doc_id, x.other_doc_id) for x in rows if x.doc_id < x.other_doc_id} == pairs
+        assert all(x.start == 30 and x.end == 90 for x in rows)
+
 # --- op9 --------------------------------------------------------------------------------------------------------------
 
 
