@@ -1,5 +1,6 @@
 """Inputs that broke operators or would make them slow: neighbours in a batch, long runs, repeats, clashing names, bounds."""
 
+import os
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm import common, decontamination, flac, holders, learning, packing, passages, probminhash, quality, secret_scan, toxicity, urlfilter
+from sievewright.llm import common, decontamination, flac, holders, kin, learning, packing, passages, probminhash, quality, secret_scan, toxicity, urlfilter
 from sievewright.llm import queries as Q
 
 from .test_llm_operators import empty, insult, labelled, odd_documents, payload, text
@@ -268,6 +269,50 @@ def test_fuzzy_passages_meet_though_others_stand_between_them_at_every_seed(spar
         assert {(x.doc_id, x.other_doc_id) for x in rows if x.doc_id < x.other_doc_id} == pairs
         assert all(x.start == 30 and x.end == 90 for x in rows)
 
+
+def test_pairs_without_room_for_a_passage_are_not_compared_and_dead_tables_go(spark, monkeypatch):
+    """Documents hold 20 to 37 times one word, and nothing else that others have: no passage is there, and only words that are equal by chance of a byte make pairs."""
+    pairs, write = [], kin.write_table
+
+    def counted(df, name, **more):
+        out = write(df, name, **more)
+        if name == "kin":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(kin, "write_table", counted)
+    docs = [(d, " ".join([*(f"a{d}y{i}" for i in range(50)), *["same"] * (20 + d % 18), *(f"b{d}y{i}" for i in range(50))])) for d in range(90)]
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert rows == [] and pairs[0] < len(docs)
+    left = {x[:-33] for x in set(os.listdir(folder)) - before}
+    assert not left & {"seeds", "seed-meets", "spans", "span-meets", "chained", "chains", "passage-texts", "open-places", "kin-texts"}
+
+
+def test_no_pair_of_places_inside_a_passage_is_left_out():
+    """Passages of 40 to 100 words with replaced, lost and added words, with few or many words in common around them."""
+    r, n = random.Random(31), 0
+    for k in range(400):
+        few, rate = [f"w{i}" for i in range(r.choice((8, 60, 2000)))], r.choice((0.02, 0.1, 0.2, 0.27))
+        ws = [r.choice(few) for _ in range(r.randint(40, 100))]
+        other = [x for i, w in enumerate(ws) for x in (r.choice(([], [f"n{k}x{i}"], [f"n{k}x{i}"], [w, f"n{k}x{i}"])) if r.random() < rate else [w])]
+        texts = [" ".join([*(f"{c}{i}" for i in range(r.randint(0, 200))), *x, *(f"{c}x{i}" for i in range(r.randint(0, 200)))]).encode() for c, x in (("a", ws), ("b", other))]
+        words = [common.hashed_words([t])[0] for t in texts]
+        seeds = [passages.Seeds().of(0, t) for t in texts]
+        codes = [(h >> np.uint64(56)).astype(np.uint8).tobytes() for h in words]
+        for chain in passages.all_chains(*seeds):
+            segments = [tuple(chain[i : i + 3]) for i in range(0, len(chain), 3)]
+            if passages.passages_of(*words, [chain], passages.MIN_WORDS, passages.IDENTITY):
+                for p, q, _ in segments:
+                    cuts = [([c[max(0, x - kin.SIDE) : x][::-1] for c, x in zip(codes, (p, q))]), ([c[x : x + kin.SIDE] for c, x in zip(codes, (p, q))])]
+                    sides, one = tuple(kin.Sides(*kin.word_rows(c)) for c in cuts), np.zeros(1, np.int64)
+                    assert kin.going_on(sides, one, one + 1)[1].all()
+                    same, two = np.zeros(2, np.int64), np.arange(2)
+                    assert any(len(kin.sharing(same, same > 0, same > 0, two, two, two, s.codes, s.size)) for s in sides)
+                    n += 1
+    assert n > 300
+
 # --- op9 --------------------------------------------------------------------------------------------------------------
 
 
