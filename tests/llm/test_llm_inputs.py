@@ -1,5 +1,6 @@
 """Inputs that broke operators or would make them slow: neighbours in a batch, long runs, repeats, clashing names, bounds."""
 
+import itertools
 import os
 import random
 import re
@@ -313,6 +314,51 @@ def test_no_pair_of_places_inside_a_passage_is_left_out():
                     n += 1
     assert n > 300
 
+
+def test_words_in_another_order_leave_no_room_for_a_passage(spark, monkeypatch):
+    """Documents hold 24 times one word and 16 times another, apart or in turn: enough words in common, but never in one order."""
+    pairs, write = [], kin.write_table
+
+    def counted(df, name, **more):
+        out = write(df, name, **more)
+        if name == "kin":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(kin, "write_table", counted)
+    docs = [(d, " ".join([*(f"a{d}y{i}" for i in range(50)), *["same"] * 24, *[f"own{d}"] * (20 + d % 7), *["other"] * 16, *(f"b{d}y{i}" for i in range(50))])) for d in range(60)]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert rows == [] and pairs[0] < 10 * len(docs)
+
+
+def test_words_in_order_equal_recursion_and_keep_passages():
+    r = random.Random(32)
+    for k in range(60):
+        n, few = r.randint(0, kin.SIDE), r.choice((3, 9, 200))
+        a, b = (bytes(r.randrange(few) for _ in range(m)) for m in (n, r.randint(0, kin.SIDE)))
+        side = kin.Sides(*kin.word_rows([a, b]))
+        got = side.ordered(np.array([0]), np.array([1]))[0]
+        row = [0] * (len(b) + 1)
+        for i, w in enumerate(a):
+            row = list(itertools.accumulate(zip(row, row[1:], b, strict=False), lambda best, x, w=w: max(best, x[1], x[0] + (w == x[2])), initial=0))
+            assert got[i + 1] == row[-1]
+    found = 0
+    for k in range(200):
+        ws = [f"w{r.randrange(60)}" for _ in range(r.randint(40, 100))]
+        other = [x for i, w in enumerate(ws) for x in (r.choice(([], [f"n{k}x{i}"], [w, f"n{k}x{i}"])) if r.random() < 0.2 else [w])]
+        texts = [" ".join([*(f"{c}{i}" for i in range(r.randint(0, 200))), *x, *(f"{c}x{i}" for i in range(r.randint(0, 200)))]).encode() for c, x in (("a", ws), ("b", other))]
+        words = [common.hashed_words([t])[0] for t in texts]
+        codes = [(h >> np.uint64(56)).astype(np.uint8).tobytes() for h in words]
+        for chain in passages.all_chains(*(passages.Seeds().of(0, t) for t in texts)):
+            if passages.passages_of(*words, [chain], passages.MIN_WORDS, passages.IDENTITY):
+                for p, q in zip(chain[::3], chain[1::3], strict=True):
+                    cuts = [([c[max(0, x - kin.SIDE) : x][::-1] for c, x in zip(codes, (p, q))]), ([c[x : x + kin.SIDE] for c, x in zip(codes, (p, q))])]
+                    sides, one = tuple(kin.Sides(*kin.word_rows(c)) for c in cuts), np.zeros(1, np.int64)
+                    size, good = kin.going_on(sides, one, one + 1)
+                    assert good.all() and kin.in_order(sides, one, one + 1, size).all()
+                    found += 1
+    assert found > 150
+
 # --- op9 --------------------------------------------------------------------------------------------------------------
 
 
