@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import batches, written
@@ -35,8 +35,8 @@ BLOCK, QUERIES = 4096, 10_000
 #: Queries whose distances to a block are held at once.
 AT_ONCE = 256
 
-#: Pairs of a query and a vector that a task estimates, and tasks of a search, at most.
-PAIRS, TASKS = 5_000_000, 20_000
+#: Pairs of a query and a vector that a task estimates, or ranks exactly, about, and tasks of a search at most.
+PAIRS, EXACT_PAIRS, TASKS = 50_000_000, 100_000_000, 20_000
 #: No candidate.
 NONE = np.uint64(2**64 - 1)
 
@@ -208,7 +208,7 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
     most QUERIES and are broadcast; labels: only vectors of the query's label count."""
     near = np.argsort(squares(q, quantiser.cells), 1, kind="stable")[:, : quantiser.probes]
     asked = {c: np.flatnonzero((near == c).any(1)) for c in np.unique(near).tolist()}
-    bounds = quantiser.bounds(q, near, labels)
+    bounds = sample_bounds(blocks.sparkSession, quantiser, q, near, labels)
     shared = blocks.sparkSession.sparkContext.broadcast((replace(quantiser, sample=None), ids, q, labels, asked, bounds))
     keep = quantiser.candidates
 
@@ -217,28 +217,24 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
         bounds = bounds.copy()
         best = np.full((len(ids), keep), NONE)  # estimates before the low bits of identifiers: ties don't depend on the order of blocks
         names = np.zeros((len(ids), keep), np.int64)
-        for batch in parts:
-            for row in batch.to_pylist():
-                who = asked.get(row["cell"], np.empty(0, np.int64))
-                stored = np.frombuffer(row["ids"], np.int64)
-                label = np.frombuffer(row["labels"], np.int32)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1)
-                for mine, inside in together(len(who), labels[who] if labels is not None else None, label):
-                    names_, codes_ = stored[inside], codes[inside]
-                    low = (names_ & 0xFFFFFFFF).astype(np.uint64)
-                    for at in range(0, len(mine), AT_ONCE):
-                        some = who[mine[at : at + AT_ONCE]]
-                        d = np.maximum(quantiser.estimates(q[some], row["cell"], codes_), np.float32(0))
-                        rows, columns = np.nonzero(d <= bounds[some][:, None])
-                        cuts = np.searchsorted(rows, np.arange(len(some) + 1))
-                        for j in np.flatnonzero(np.diff(cuts)).tolist():
-                            i, at_ = some[j], columns[cuts[j] : cuts[j + 1]]
-                            key = np.concatenate([best[i], (d[j, at_].view(np.uint32).astype(np.uint64) << np.uint64(32)) | low[at_]])
-                            top = np.argpartition(key, keep - 1)[:keep]
-                            best[i], names[i] = key[top], np.concatenate([names[i], names_[at_]])[top]
-                            last = best[i].max()
-                            if last != NONE:  # ties of the last estimate still count, by identifier
-                                bounds[i] = min(bounds[i], np.uint32(last >> np.uint64(32)).view(np.float32))
+        for cell, stored, label, codes in cell_runs(parts):
+            who = asked.get(cell, np.empty(0, np.int64))
+            for mine, inside in together(len(who), labels[who] if labels is not None else None, label):
+                names_, codes_ = stored[inside], codes[inside]
+                low = (names_ & 0xFFFFFFFF).astype(np.uint64)
+                for at in range(0, len(mine), AT_ONCE):
+                    some = who[mine[at : at + AT_ONCE]]
+                    d = np.maximum(quantiser.estimates(q[some], cell, codes_), np.float32(0))
+                    rows, columns = np.nonzero(d <= bounds[some][:, None])
+                    cuts = np.searchsorted(rows, np.arange(len(some) + 1))
+                    for j in np.flatnonzero(np.diff(cuts)).tolist():
+                        i, at_ = some[j], columns[cuts[j] : cuts[j + 1]]
+                        key = np.concatenate([best[i], (d[j, at_].view(np.uint32).astype(np.uint64) << np.uint64(32)) | low[at_]])
+                        top = np.argpartition(key, keep - 1)[:keep]
+                        best[i], names[i] = key[top], np.concatenate([names[i], names_[at_]])[top]
+                        last = best[i].max()
+                        if last != NONE:  # ties of the last estimate still count, by identifier
+                            bounds[i] = min(bounds[i], np.uint32(last >> np.uint64(32)).view(np.float32))
         who, place = np.nonzero(best != NONE)
         estimate = (best[who, place] >> np.uint64(32)).astype(np.uint32).view(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(names[who, place]), pa.array(estimate)], names=["query_id", "id", "estimate"])
@@ -246,13 +242,52 @@ def candidates(blocks: DataFrame, quantiser: Quantiser, ids: np.ndarray, q: np.n
     wanted = blocks.where(F.col("cell").isin([int(c) for c in asked])) if len(asked) < len(quantiser.cells) else blocks
     # an index is small for what a search computes over it, so that tasks are counted by pairs of a query and a vector
     pairs = (blocks.agg(F.sum("n")).first()[0] or 0) * len(ids) * quantiser.probes // len(quantiser.cells)
-    wanted = wanted.repartition(min(TASKS, 1 + pairs // PAIRS))
+    tasks = min(TASKS, max(blocks.sparkSession.sparkContext.defaultParallelism, 1 + pairs // PAIRS))
+    # tables are as large as some hundred vectors' estimates: a cell's blocks come to one task, in parts only if its vectors are many
+    part = F.pmod(F.xxhash64("ids"), F.ceil(F.sum("n").over(Window.partitionBy("cell")) / F.lit(BLOCK)))
+    wanted = wanted.withColumn("part", part).repartition(tasks, "cell", "part").sortWithinPartitions("cell").drop("part")
     with batches(blocks.sparkSession, 64):
         found = written(wanted.mapInArrow(run, "query_id long, id long, estimate float"), "vector-candidates")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("estimate", "id"))
     return found.withColumn("place", place).where(F.col("place") <= keep).select("query_id", "id")
 
 
+def sample_bounds(spark: SparkSession, quantiser: Quantiser, q: np.ndarray, near: np.ndarray, labels: np.ndarray | None) -> np.ndarray:
+    """Quantiser.bounds of all queries, AT_ONCE of them after the other in tasks."""
+    n = -(-len(q) // AT_ONCE)
+    shared = spark.sparkContext.broadcast((quantiser, q, near.astype(np.int32), labels))
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantiser, q, near, labels = shared.value
+        for batch in parts:
+            for i in batch.column(0).to_pylist():
+                some = slice(i * AT_ONCE, (i + 1) * AT_ONCE)
+                bound = quantiser.bounds(q[some], near[some], None if labels is None else labels[some])
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([bound.tobytes()], pa.binary())], names=["id", "bound"])
+
+    with batches(spark, 64):
+        rows = spark.range(0, n, 1, min(n, TASKS)).mapInArrow(run, "id long, bound binary").collect()
+    return np.concatenate([np.frombuffer(r["bound"], np.float32) for r in sorted(rows, key=lambda r: r["id"])])
+
+
+def cell_runs(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """cell, identifiers, labels and codes of blocks sorted by cell, those of a cell together until they have BLOCK vectors."""
+    held: list[dict] = []
+
+    def joined() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        ids, labels, codes = (np.frombuffer(b"".join(r[c] for r in held), t) for c, t in (("ids", np.int64), ("labels", np.int32), ("codes", np.uint8)))
+        return held[0]["cell"], ids, labels, codes.reshape(len(ids), -1)
+
+    for batch in parts:
+        for row in batch.to_pylist():
+            if held and (row["cell"] != held[0]["cell"] or sum(r["n"] for r in held) >= BLOCK):
+                yield joined()
+                held = []
+            held.append(row)
+    if held:
+        yield joined()
+
+
 def first(dist: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
     """Places of the k least (distance, name)."""
     edge = np.partition(dist, k - 1)[k - 1]
@@ -335,8 +370,11 @@ def exact_search(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     label or vector that many rows share comes to one task. with_label: also the label, in which queries are then ranked."""
     rows = store.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(key).cast("long"), (F.coalesce(F.col(label).cast("int"), F.lit(-1)) if label else F.lit(-1)).alias("label"), F.col(vector).cast("array<float>"))
-    parts = []
+    parts, n, held = [], rows.count(), rows.rdd.getNumPartitions()
     for ids, q, labels in query_blocks(queries, key, vector, label, most):
+        # a store of few files is spread by pairs of a query and a vector
+        tasks = min(TASKS, max(store.sparkSession.sparkContext.defaultParallelism, 1 + n * len(ids) // EXACT_PAIRS))
+        spread = rows.repartition(tasks) if held < tasks else rows
         shared = store.sparkSession.sparkContext.broadcast((ids, q, labels))
 
         def run(batched: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -358,7 +396,7 @@ def exact_search(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dist), ids[i])), pa.array(own), pa.array(name), pa.array(dist)], names=["query_id", "own", key, "distance"])
 
         with batches(store.sparkSession, 8192):
-            found = written(rows.mapInArrow(run, f"query_id long, own int, {key} long, distance double"), "vector-nearest")
+            found = written(spread.mapInArrow(run, f"query_id long, own int, {key} long, distance double"), "vector-nearest")
             parts.append(found.withColumnRenamed("own", label) if with_label else found.drop("own"))
     return ranked(queries, parts, k, key, (label,) if with_label else ())
 
