@@ -338,12 +338,13 @@ def first_items(rows: DataFrame, counts: tuple[np.ndarray, np.ndarray], least: f
         return written(rows.select("k", "g", "ws").mapInArrow(run, f"k {kinds['k']}, g {kinds['g']}, size int, place int, w long"), "first-items")
 
 
-def similar_within(df: DataFrame, key: str, items: str, least: float, by: str) -> DataFrame:
+def similar_within(df: DataFrame, key: str, items: str, least: float, by: str, hashed: bool = False) -> DataFrame:
     """Pairs ka < kb of rows that agree on `by` and whose arrays of distinct items have a Jaccard similarity of `least` or more.
     Candidates agree on `by`, are of like size and share MET of their first items in one order of all items (see first_items): of the o items
     that a pair must share, the first MET have o - MET behind them in both sets. Frequent items come last in that order, and any order
-    finds all pairs. Items are compared by 64-bit hashes; only first items, and whole sets of candidates, are shuffled."""
-    rows = df.where(F.col(key).isNotNull() & F.col(by).isNotNull()).select(F.col(key).alias("k"), F.col(by).alias("g"), F.transform(items, lambda w: F.xxhash64(w)).alias("ws"))
+    finds all pairs. Items are compared by 64-bit hashes (hashed: the items are such); only first items, and whole sets of candidates, are shuffled."""
+    ws = F.col(items) if hashed else F.transform(items, lambda w: F.xxhash64(w))
+    rows = df.where(F.col(key).isNotNull() & F.col(by).isNotNull()).select(F.col(key).alias("k"), F.col(by).alias("g"), ws.alias("ws"))
     rows = rows.where(F.size("ws") > 0)
     few = first_items(rows, frequent(rows, "ws"), least)
     x, y = few.alias("x"), few.alias("y")
@@ -355,12 +356,14 @@ def similar_within(df: DataFrame, key: str, items: str, least: float, by: str) -
     met = met.groupBy(F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), both.alias("both")).agg(F.count("*").alias("n"))
     pairs = written(met.where(F.col("n") >= F.least(F.lit(MET), F.ceil(F.col("both") * (least / (1 + least)) - 1e-9))).drop("n"), "candidate-pairs")
     ids = pairs.select(F.explode(F.array("ka", "kb")).alias("k")).distinct()
-    sets = written(rows.select("k", "ws").join(checked(ids), "k", "left_semi"), "candidate-sets")
+    sets = rows.select("k", "ws").join(checked(ids), "k", "left_semi")
     a, b = sets.select(F.col("k").alias("ka"), F.col("ws").alias("wa")), sets.select(F.col("k").alias("kb"), F.col("ws").alias("wb"))
     shared = pairs.join(a, "ka").join(b, "kb").select("ka", "kb", "both", F.size(F.array_intersect("wa", "wb")).alias("shared"))
     return shared.withColumn("similarity", F.col("shared") / (F.col("both") - F.col("shared"))).where(F.col("similarity") >= least).select("ka", "kb", "similarity")
 
 
+#: Hashes repeat from row to row: a dictionary of up to 16 MB for each file's part, and what a word takes there is a place in it.
+DICTIONARY = {"parquet.dictionary.page.size": 1 << 24, "compression": "zstd"}
 #: Rows of identifiers that are broadcast at most.
 BROADCAST_KEYS = 1 << 20
 
@@ -371,17 +374,20 @@ def checked(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
-def set_members(df: DataFrame, key: str, items: str, by: str) -> DataFrame:
-    """key, by, mark and representative: the least key of the rows that agree on `by` and have equal arrays of distinct sorted items; mark is a hash
-    of both, null where there are no items or `by` is null. Only digests of the arrays are shuffled; the table is written once."""
-    mark = F.when((F.size(items) > 0) & F.col(by).isNotNull(), set_mark(items, by))
-    rows = df.select(key, by, F.sha2(F.to_json(items), 256).alias("digest"), mark.alias("mark"))
-    least = rows.groupBy(F.col(by).alias("g"), F.col("digest").alias("d")).agg(F.min(key).alias("representative"))
-    return written(rows.join(least, F.col(by).eqNullSafe(F.col("g")) & F.col("digest").eqNullSafe(F.col("d"))).select(key, by, "mark", "representative"), "set-members")
+def hashed_sets(df: DataFrame, key: str, items: str, by: str) -> DataFrame:
+    """key, by, digest and hashes (64 bits each, as ws) of each row's array of distinct sorted items, and mark, a hash of it and `by` that is null where
+    there are no items or `by` is null. Written once, so that items are made once."""
+    mark = F.when((F.size(items) > 0) & F.col(by).isNotNull(), F.xxhash64(by, items))
+    digest, ws = F.sha2(F.to_json(items), 256), F.transform(items, lambda w: F.xxhash64(w))
+    return written(df.select(key, by, digest.alias("digest"), mark.alias("mark"), ws.alias("ws")), "word-sets", **DICTIONARY)
 
 
-def set_mark(items: str, by: str) -> Column:
-    return F.xxhash64(by, items)
+def set_members(sets: DataFrame, key: str, by: str) -> DataFrame:
+    """key, by, mark and representative: the least key of the rows of hashed_sets() that agree on `by` and have equal arrays.
+    Only digests of the arrays are shuffled; the table is written once."""
+    rows = sets.select(key, by, "digest", "mark")
+    least = rows.groupBy(F.col(by).alias("g"), F.col("digest").alias("d")).agg(F.min(key).alias("representative"))
+    return written(rows.join(least, F.col(by).eqNullSafe(F.col("g")) & F.col("digest").eqNullSafe(F.col("d"))).select(key, by, "mark", "representative"), "set-members")
 
 
 def holders_of(df: DataFrame, sets: DataFrame, key: str, set_key: str, items: str, members: str, more: float) -> DataFrame:

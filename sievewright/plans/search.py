@@ -223,10 +223,11 @@ p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.ws
 def word_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Which document stands for each document's word set in its language, and the pairs of those that stand for others."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", T.token_set(F.col("text")).alias("ws"))
-    members = R.set_members(docs, "doc_id", "ws", "lang")
+    sets = R.hashed_sets(docs, "doc_id", "ws", "lang")
+    members = R.set_members(sets, "doc_id", "lang")
     copies = R.checked(members.where("doc_id > representative").select("doc_id", "mark"))
-    own = docs.withColumn("mark", R.set_mark("ws", "lang")).join(copies, ["doc_id", "mark"], "left_anti")
-    return members, R.similar_within(own, "doc_id", "ws", 0.8, "lang")
+    own = sets.join(copies, ["doc_id", "mark"], "left_anti")
+    return members, R.similar_within(own, "doc_id", "ws", 0.8, "lang", hashed=True)
 
 
 @query(f"""WITH {REPRESENTATIVES} SELECT * FROM p

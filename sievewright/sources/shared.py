@@ -32,10 +32,10 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df as a table of the shared folder; by: columns that become folders, so that filters on them skip files."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = (), **options) -> DataFrame:
+    """df as a table of the shared folder; by: columns that become folders, so that filters on them skip files; options of the writer."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     columns = [c for c in df.columns if c not in by] + list(by)
     return df.sparkSession.read.schema(df.select(*columns).schema).parquet(path).select(*df.columns)
 
