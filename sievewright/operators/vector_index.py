@@ -370,11 +370,11 @@ def exact_search(store: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     label or vector that many rows share comes to one task. with_label: also the label, in which queries are then ranked."""
     rows = store.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(key).cast("long"), (F.coalesce(F.col(label).cast("int"), F.lit(-1)) if label else F.lit(-1)).alias("label"), F.col(vector).cast("array<float>"))
-    parts, n, held = [], rows.count(), rows.rdd.getNumPartitions()
+    parts, n = [], rows.count()
     for ids, q, labels in query_blocks(queries, key, vector, label, most):
-        # a store of few files is spread by pairs of a query and a vector
+        # splits of a file may hold no row, so that a store is spread by pairs of a query and a vector however it is stored
         tasks = min(TASKS, max(store.sparkSession.sparkContext.defaultParallelism, 1 + n * len(ids) // EXACT_PAIRS))
-        spread = rows.repartition(tasks) if held < tasks else rows
+        spread = rows.repartition(tasks)
         shared = store.sparkSession.sparkContext.broadcast((ids, q, labels))
 
         def run(batched: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
